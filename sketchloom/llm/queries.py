@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, pii, quality, rules, secrets, shards, topk
+from . import bpe, chat, neardup, packing, pii, quality, rules, secrets, shards, topk
 from .common import table
 
 
@@ -68,6 +68,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    held = bpe.read_ranks(ranks or tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    pattern = importlib.import_module("public_tokenizers").PATTERN
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), held, pattern)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
