@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> None:
-    """Arrow batches small enough for tables of long texts."""
+    """Arrow batches small enough for tables of long texts; the package itself travels to the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).parents[2]
+        path = f"{tempfile.mkdtemp(prefix='sketchloom-')}/sketchloom_package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((root / "sketchloom").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

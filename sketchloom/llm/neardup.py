@@ -66,8 +66,9 @@ class Shingler:
         known, digest = self.known, xxhash.xxh3_64_intdigest
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = digest(w)
+        for w in words:
+            if w not in known:
+                known[w] = digest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         m = max(1, len(words) - WORDS + 1)
         out = np.full(m, min(len(words), WORDS), np.uint64)
@@ -80,23 +81,14 @@ class Shingler:
 def signature(shingles: np.ndarray) -> bytes:
     """Low 16 bits of each slot's minimum, after a multiply-add on the 64-bit hash."""
     best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 2048):  # bounded memory on long texts
-        best = np.minimum(best, (shingles[i : i + 2048, None] * MUL + ADD).min(axis=0))
+    for i in range(0, len(shingles), 512):  # bounded memory on long texts
+        values = MUL[:, None] * shingles[i : i + 512]
+        values += ADD[:, None]
+        np.minimum(best, values.min(axis=1), out=best)
     best ^= best >> np.uint64(32)
     return (best & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def index_keys(sig: bytes) -> list[int]:
-    """Keys of every chunk with each slot left out in turn."""
-    s = np.frombuffer(sig, "<u2").reshape(CHUNKS, CHUNK)
-    out = []
-    for c in range(CHUNKS):
-        for drop in range(CHUNK):
-            kept = np.delete(s[c], drop).tobytes()
-            out.append(xxhash.xxh3_64_intdigest(kept, seed=c * CHUNK + drop) - (1 << 63))
-    return out
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash (two longs), sig, one row per row of ``docs``."""
     tune(docs.sparkSession)

@@ -68,8 +68,9 @@ class Featurizer:
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = self._shape(w)
+        for w in words:
+            if w not in known:
+                known[w] = self._shape(w)
         n = len(words)
         s = np.fromiter(map(known.__getitem__, words), np.uint64, n)
         again = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), bool, n - 1)
