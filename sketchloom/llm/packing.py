@@ -13,7 +13,10 @@ others; an empty table gives no pieces; only the key and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +31,8 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftover windows one merging task takes.
 MERGE_PARTITIONS = 16
 END_ID = 1
-CACHE_WORDS = 400_000
+#: Chunks in one of the two generations that a worker remembers.
+CACHE_WORDS = 500_000
 LONG_WORD = 64
 OUT = "doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, part int"
 
@@ -37,7 +41,8 @@ class WordTokenizer:
     """Whole-text ids from a tokenizer that drops white space: chunks between spaces are tokenised once.
 
     Normalisation and splitting of this tokenizer never look across a space or line feed, so the ids of a
-    text are its chunks' ids in order.  Special-token strings may hold no space, so they stay in one chunk.
+    text are its chunks' ids in order.  Special-token strings hold no space, so they stay in one chunk.
+    Remembered chunks live in two generations of bounded size: what is not met again while the younger one fills is forgotten.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -45,26 +50,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = list({w for c in chunks for w in c if w not in known})
+        young, old = self.young, self.old
+        fresh = []
+        for w in {w for c in chunks for w in c}:
+            if w not in young:
+                if (known := old.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    young[w] = known
         for i in range(0, len(fresh), 10_000):
             part = fresh[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = b"".join([x.to_bytes(4, "little") for x in e.ids])
-        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
+                young[w] = array("I", e.ids).tobytes() if little else b"".join([x.to_bytes(4, "little") for x in e.ids])
+        out = [b"".join(map(young.__getitem__, c)) for c in chunks]
         for w in fresh:
             if len(w) > LONG_WORD:
-                del known[w]
-        if len(known) > CACHE_WORDS:
-            known.clear()
+                del young[w]
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = young, {}
         return out
 
 
+little = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+@functools.lru_cache(2)
+def word_tokenizer(tokenizer_json: str) -> WordTokenizer:
+    """One per Python worker, kept from task to task."""
+    return WordTokenizer(tokenizer_json)
+
+
 class Packer:
     """Open windows of one partition; ``emit`` gets (window number, pieces) of each closed window."""
 
@@ -151,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, o
         packer, words, kind = Packer(part << 32, window, open_windows), None, None
         for b in batches:
             kind = b.schema.field(0).type
-            words = words or WordTokenizer(definition.value)
+            words = words or word_tokenizer(definition.value)
             texts, ids = ["" if t is None else t for t in b.column(1).to_pylist()], b.column(0).to_pylist()
             for i in range(0, len(texts), 200):
                 for doc, own in zip(ids[i : i + 200], words.encode(texts[i : i + 200]), strict=True):
