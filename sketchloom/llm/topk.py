@@ -133,17 +133,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     right = dealt(rows.where("q"), "qb", query_blocks, "vb", vector_blocks).groupBy("vb", "qb")
 
     def cell(mine: pa.Table, asked: pa.Table) -> pa.Table:
-        q_ids, v_ids, scores = [], [], []
+        q_rows, q_ids, v_ids, scores = [], [], [], []
         have = _matrix(mine) if mine.num_rows and asked.num_rows else {}
         for d, (quid, qid, q) in (_matrix(asked) if have else {}).items():
             if d in have:
                 for i, (ids, s) in enumerate(search(Block(*have[d]), quid, q, k)):
+                    q_rows += [quid[i]] * len(ids)
                     q_ids += [qid[i]] * len(ids)
                     v_ids += ids.tolist()
                     scores += [int(x) for x in s]
         i64 = pa.int64()
-        return pa.table({"query_id": pa.array(q_ids, i64), "vec_id": pa.array(v_ids, i64), "score": pa.array(scores, i64)})
+        return pa.table({"row": pa.array(q_rows, i64), "query_id": pa.array(q_ids, i64), "vec_id": pa.array(v_ids, i64), "score": pa.array(scores, i64)})
 
-    found = left.cogroup(right).applyInArrow(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.cogroup(right).applyInArrow(cell, "row long, query_id long, vec_id long, score long")
+    # rows that repeat an id are queries of their own
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
