@@ -97,6 +97,9 @@ def texts_of(batch: pa.RecordBatch, name: str = "text", empty: str | None = "")
     return [empty if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def lead_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, so that extra ones (even with clashing names) never matter."""
-    return df.select(*columns)
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_checked, per_batch, texts_of, tune
+from .common import Scratch, fresh_name, join_checked, per_batch, texts_of, tune
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -164,5 +164,6 @@ def apply_rules(docs: DataFrame, limits: RuleLimits | None = None, host: str = "
         return b.filter(pa.array(keep, pa.bool_()))
 
     passed = per_batch(docs, run, docs.schema)
-    with_host = passed.withColumn("_host", F.coalesce(passed[host].cast("string"), F.lit("\x00")))
-    return join_checked(with_host, bad, ["_host"], "left_anti", rows).drop("_host")
+    name = fresh_name(docs, "_host")
+    with_host = passed.withColumn(name, F.coalesce(passed[host].cast("string"), F.lit("\x00")))
+    return join_checked(with_host, bad.withColumnRenamed("_host", name), [name], "left_anti", rows).drop(name)
