@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sketchloom.llm import quality
+from sketchloom.llm.common import Scratch
+from sketchloom.llm.queries import op4_quality_classifier
+
+from .helpers import SMALL, extra, odd_documents
+
+
+def test_held_out_labels(spark):
+    """Labels outside the sample that fitted the model."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels.where("doc_id % 2 = 0"))
+    joined = got.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "kept").collect()
+    good = [r.kept for r in joined if r.quality == 1]
+    bad = [r.kept for r in joined if r.quality == 0]
+    assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.03
+
+
+def test_counts_and_weights_against_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    f, size = quality.Featurizer(), 1 << quality.BUCKET_BITS
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    raw, target, rows = np.zeros(size), np.zeros(size), docs.collect()
+    for r in rows:
+        c = np.bincount(f.buckets(r.text), minlength=size)
+        raw += c
+        target += c * (r.doc_id in good)
+    ratio = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
+    assert np.allclose(ratio, model.log_ratio)
+    weights = {r.doc_id: model.weight(f.buckets(r.text)) for r in rows}
+    k = sum(w >= model.threshold for w in weights.values())
+    perturbed = {r.doc_id: np.float32(weights[r.doc_id] + model.gumbel(r.doc_id, r.text)) for r in rows}
+    best = set(sorted(perturbed, key=lambda d: -perturbed[d])[:k])
+    assert {r.doc_id for r in op4_quality_classifier(spark, SMALL).where("kept").collect()} == best
+
+
+def test_kth_largest(spark):
+    values = [float(x) for x in np.random.default_rng(0).normal(0, 50, 3_000).astype(np.float32)] + [0.0, -0.5, -0.5, float("-inf"), 1e30]
+    df = spark.createDataFrame([(v,) for v in values], "perturbed float")
+    ordered = sorted(np.array(values, np.float32), reverse=True)
+    for k in (1, 2, 17, 1_500, len(values)):
+        assert quality.kth_largest(df, k) == ordered[k - 1]
+
+
+def test_filter_agrees_with_query_and_odd_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality.keep_good(extra(docs), labels)
+    assert kept.columns == extra(docs).columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.classify(docs, labels).where("kept").collect()}
+    odd = odd_documents(spark)
+    assert quality.classify(odd, labels).count() == odd.count()
+    assert quality.classify(odd.limit(0), labels).count() == 0
+    assert quality.classify(odd, labels.limit(0)).where(~F.col("kept")).count() == 0
+    Scratch(spark, "x")
