@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..hashing import cubic, half, key_of
+from ..shipping import ship
 from .fingerprint import CuckooSpec
 
 
@@ -265,6 +266,7 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def _sharded(df: DataFrame, key: Column, order: str, shards: int) -> DataFrame:
+    ship(df.sparkSession)
     keyed = df.where(key.isNotNull()).select("*", key.alias("_key"), shard_of(key, shards).alias("_shard"))
     return keyed.repartition(shards, "_shard").sortWithinPartitions("_shard", order, "_key")
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..hashing import key_of
 from ..operators import cms, hll
 from ..operators.ordered import StreamFilter, shard_of
+from ..shipping import ship
 
 
 def deduplicate_stream(stream: DataFrame, key: str, order: str, bits_each: int, fpp: float, rule: str = "bs", shards: int = 8, seed: str = "") -> DataFrame:
@@ -30,6 +31,7 @@ def deduplicate_stream(stream: DataFrame, key: str, order: str, bits_each: int,
         state.update((held.dump(),))
         yield rows[[order, "item", "shard", "is_distinct"]]
 
+    ship(stream.sparkSession)
     item = key_of(key)
     keyed = stream.where(item.isNotNull()).select(order, item.alias("item"), shard_of(item, shards).alias("shard"))
     return keyed.groupBy("shard").applyInPandasWithState(update, text, "state binary", "append", GroupStateTimeout.NoTimeout)
