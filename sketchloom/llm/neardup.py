@@ -11,8 +11,10 @@ Work is kept from growing with the square of a group:
 * texts with equal shingle sets are one class, found by an aggregate, before any index;
 * every bucket first links its members to its smallest member only; those links, confirmed on
   full shingle sets, make components, and a bucket that lies in one component is done;
-* what is left (members of one bucket in different components) is split by set size, since similar sets have similar
-  sizes, and compared in blocks of bounded size, signatures first; only pairs under the distance are emitted.
+* what is left (members of one bucket in different components, mostly texts that share a long passage) is split once more, exactly:
+  similar sets share a shingle among their first ``n - ceil(0.85 n) + 1`` in any fixed order, and the order
+  puts passages last, so texts that share only a passage part; the groups of one such shingle are split by set size,
+  since similar sets have similar sizes, and compared in blocks of bounded size, signatures first, then full sets. Sets travel to their two largest groups only.
 
 Defined results: ASCII letters are lower-cased, words are runs without the six ASCII spaces; a text of fewer than
 five words is one shingle; a null text, or one without words, has no set and links with nothing;
@@ -40,6 +42,8 @@ WORDS = 5
 PERCENT = 85
 #: Members compared with one another in one block.
 BLOCK = 1024
+#: Frequent shingles that the prefix order puts last.
+COMMON = 100_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,14 +155,7 @@ def with_signatures(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= 85 * union.  ``docs``: doc, text of representatives' ids."""
     wanted = scratch.keep(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-    texts = join_checked(docs, wanted, ["doc"], "left_semi", wanted.count())
-    shingler = Shingler()
-
-    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingler.shingles(t).tobytes() for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc", "set"])
-
-    full = scratch.keep(per_batch(texts, sets, "doc long, set binary"), codec="none")
+    full = shingle_sets(docs, wanted, scratch)
     both = pairs.join(full.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(full.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,43 +172,142 @@ def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs inside live buckets: members (key, doc, comp, n, sig) in blocks of bounded size.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, set) of the wanted ids: their shingles' hashes."""
+    texts = join_checked(docs, wanted, ["doc"], "left_semi", wanted.count())
+    shingler = Shingler()
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingler.shingles(t).tobytes() for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc", "set"])
+
+    return scratch.keep(per_batch(texts, sets, "doc long, set binary"), codec="none")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(key, doc): the shingles of each set of which two similar sets share one.
+
+    The order is by hash, with the ``COMMON`` shingles that most of these sets hold moved to the end, rarest first.
+    """
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        s, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], names=["s", "n"])
+
+    often = per_batch(sets, count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = often.orderBy(F.desc("n"), "s").limit(COMMON).collect()  # bounded by COMMON
+    place = {r[0]: i for i, r in enumerate(reversed(rows))}
+    common = sets.sparkSession.sparkContext.broadcast(np.array(sorted(place), np.int64))
+    ranks = sets.sparkSession.sparkContext.broadcast(np.array([place[x] for x in sorted(place)], np.int64))
+
+    def first(b: pa.RecordBatch) -> pa.RecordBatch:
+        docs, keys = [], []
+        for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            s = np.frombuffer(x.as_buffer(), np.int64)
+            late = np.full(len(s), -1, np.int64)
+            if len(common.value):
+                at = np.minimum(np.searchsorted(common.value, s), len(common.value) - 1)
+                late = np.where(common.value[at] == s, ranks.value[at], -1)
+            size = len(s) - -(-PERCENT * len(s) // 100) + 1
+            keys.append(s[np.lexsort((s, late))[:size]])
+            docs.append(np.full(len(keys[-1]), d))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["key", "doc"])
+
+    return per_batch(sets, first, "key long, doc long")
+
+
+def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, allowed) -> list[tuple[int, int]]:
+    """Places (x, y), x of ``left`` and y of ``right``, of sets that are similar; ``allowed(x)`` gives the y to look at.
+
+    Intersections are counted for one x against all of ``right`` at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    held = np.zeros(int(names.max()) + 1, np.int64)
+    pieces = [names[starts[y] : starts[y + 1]] for y in right]
+    flat, at = np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+    place = {int(y): i for i, y in enumerate(right)}
+    out = []
+    for x in left:
+        ys = allowed(x)
+        if not len(ys):
+            continue
+        own = names[starts[x] : starts[x + 1]]
+        held[own] = 1
+        if len(ys) > 20:
+            same = np.add.reduceat(held[flat], at)[[place[int(y)] for y in ys]]
+        else:
+            same = np.array([held[pieces[place[int(y)]]].sum() for y in ys])
+        held[own] = 0
+        out += [(int(x), int(y)) for y in ys[100 * same >= PERCENT * (sizes[x] + sizes[ys] - same)]]
+    return out
+
+
+def placed_in_blocks(members: DataFrame) -> DataFrame:
+    """Members (key, doc, comp, n, ...) dealt to the groups (key, cls, i, j) in which they are compared.
 
-    Buckets are first split by size class (a set may match one of its own or the next class), then dealt into blocks
-    of about ``BLOCK``; each pair of blocks is one group.
+    Keys are first split by size class (a set may match one of its own or the next class), then dealt into blocks
+    of about ``BLOCK``; each pair of blocks is one group. What lies in one component is not placed.
     """
     ratio = float(np.log(100 / PERCENT))
     cls = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")
-    sized = members.select("key", "doc", "comp", "n", "sig", F.explode(F.array(cls, cls + 1)).alias("cls"))
-    live = sized.groupBy("key", "cls").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    live = live.select("key", "cls", blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    placed = sized.join(live, ["key", "cls"]).withColumn("own", own)
+    sized = members.withColumn("cls", F.explode(F.array(cls, cls + 1)))
+    live = members.select("key", "comp", F.explode(F.array(cls, cls + 1)).alias("cls")).groupBy("key", "cls")
+    live = live.agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    live = live.select("key", "cls", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    placed = sized.join(live, ["key", "cls"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # a member of block i meets every block j: the group (i, j) with i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("*", other).select(
-        "key", "cls", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "n", "sig"
-    )
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
-    def compare(t: pa.Table) -> pa.Table:
+
+class Group:
+    """The arrays of one group, and which members of its right side a left one has to meet."""
+
+    def __init__(self, t: pa.Table):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, doc, comp, n = (t.column(c).to_numpy() for c in ("own", "doc", "comp", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found_a, found_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
-            if i == j:
-                y = y[doc[y] > doc[x]]
-            y = y[(sig[y] != sig[x]).sum(axis=1) <= DISTANCE] if len(y) else y
-            found_a.append(np.full(len(y), doc[x]))
-            found_b.append(doc[y])
-        empty = np.empty(0, np.int64)
-        a, b = (np.concatenate(f).astype(np.int64) if f else empty for f in (found_a, found_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        self.own, self.doc, self.comp, self.n = (t.column(c).to_numpy() for c in ("own", "doc", "comp", "n"))
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+        self.left, self.right, self.same = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j), i == j
 
+    def allowed(self, x: int) -> np.ndarray:
+        y, n = self.right, self.n
+        y = y[(self.comp[y] != self.comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
+        y = y[self.doc[y] > self.doc[x]] if self.same else y
+        return y[(self.sig[y] != self.sig[x]).sum(axis=1) <= DISTANCE] if len(y) else y
+
+    def pairs(self, found: list[tuple[int, int]]) -> pa.Table:
+        made = [sorted((int(self.doc[x]), int(self.doc[y]))) for x, y in found]
+        return pa.table({"a": pa.array([p[0] for p in made], pa.int64()), "b": pa.array([p[1] for p in made], pa.int64())})
+
+
+def links_at_home(members: DataFrame) -> DataFrame:
+    """Links (a, b) between members (key, doc, comp, n, sig, set) of one home; only links that full sets confirm are emitted."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        g = Group(t)
+        sets = [np.frombuffer(x, np.int64) for x in t.column("set").to_pylist()]
+        return g.pairs(links_within(sets, g.left, g.right, g.allowed) if len(g.left) and len(g.right) else [])
+
+    placed = placed_in_blocks(members).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "set")
+    return placed.groupBy("key", "cls", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def pairs_abroad(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between members (key, doc, comp, n, sig, homes) of one key that share no home."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        g = Group(t)
+        first, last = (t.column(c).to_numpy() for c in ("first", "last"))
+        found = []
+        for x in g.left:
+            y = g.allowed(x)
+            met = (first[y] == first[x]) | (first[y] == last[x]) | (last[y] == first[x]) | (last[y] == last[x])
+            found += [(int(x), int(z)) for z in y[~met]]
+        return g.pairs(found)
+
+    placed = placed_in_blocks(members).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "first", "last")
     return placed.groupBy("key", "cls", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -237,8 +333,22 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     labelled = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
     labelled = scratch.keep(labelled)
     live = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("key")
-    apart = labelled.join(live, "key", "left_semi").join(reps.select("doc", "n", "sig"), "doc")
-    second = confirm(scratch.keep(block_pairs(apart)), texts, scratch)
+    apart = scratch.keep(labelled.join(live, "key", "left_semi").select("doc", "comp").distinct())
+    sets = shingle_sets(texts, apart.select("doc"), scratch)
+    keyed = scratch.keep(prefixes(sets).join(apart, "doc"))
+    # a shingle that one component alone holds in its prefixes makes no pair
+    several = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m")
+    keyed = scratch.keep(keyed.join(several, "key"))
+    # a set's homes are its two largest groups: sets travel there only, and pairs that share a home are settled there
+    largest = F.max(F.struct("m", "key")).alias("a")
+    one = keyed.groupBy("doc").agg(largest).select("doc", F.col("a.key").alias("first"))
+    two = keyed.join(one, "doc").where("key <> first").groupBy("doc").agg(largest).select("doc", F.col("a.key").alias("last"))
+    homes = scratch.keep(one.join(two, "doc", "left").withColumn("last", F.coalesce("last", "first")))
+    known = apart.join(reps.select("doc", "n", "sig"), "doc")
+    at_home = homes.select("doc", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
+    settled = scratch.keep(links_at_home(at_home.join(known, "doc").join(sets, "doc")))
+    abroad = keyed.select("key", "doc").join(known, "doc").join(homes, "doc")
+    second = settled.union(confirm(scratch.keep(pairs_abroad(abroad)), texts, scratch))
     # rows take their class's name; only classes of several rows need a join
     several = reps.where("m > 1").select("h1", "h2", "n", "doc")
     rows = linked.join(several, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("doc", "doc_id").alias("doc"))
