@@ -184,19 +184,24 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFr
     return scratch.keep(per_batch(texts, sets, "doc long, set binary"), codec="none")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
+def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, doc): the shingles of each set of which two similar sets share one.
 
-    The order is by hash, with the ``COMMON`` shingles that most of these sets hold moved to the end, rarest first.
+    The order is by hash, with up to ``COMMON`` shingles that most of these sets hold moved to the end, rarest first.
     """
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         s, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], names=["s", "n"])
 
-    often = per_batch(sets, count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
-    rows = often.orderBy(F.desc("n"), "s").limit(COMMON).collect()  # bounded by COMMON
-    place = {r[0]: i for i, r in enumerate(reversed(rows))}
+    often = scratch.keep(per_batch(sets, count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2"))
+    # the least power of two that at most COMMON shingles reach
+    bins = {r[0]: r[1] for r in often.groupBy(F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("b")).count().collect()}  # at most 63 rows
+    least, total = 64, 0
+    while least and (total := total + bins.get(least - 1, 0)) <= COMMON:
+        least -= 1
+    rows = often.where(F.col("n") >= F.lit(2.0**least)).collect()  # at most COMMON rows
+    place = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     common = sets.sparkSession.sparkContext.broadcast(np.array(sorted(place), np.int64))
     ranks = sets.sparkSession.sparkContext.broadcast(np.array([place[x] for x in sorted(place)], np.int64))
 
@@ -271,8 +276,8 @@ class Group:
         self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
         self.left, self.right, self.same = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j), i == j
 
-    def allowed(self, x: int) -> np.ndarray:
-        y, n = self.right, self.n
+    def allowed(self, x: int, among: np.ndarray | None = None) -> np.ndarray:
+        y, n = self.right if among is None else among, self.n
         y = y[(self.comp[y] != self.comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
         y = y[self.doc[y] > self.doc[x]] if self.same else y
         return y[(self.sig[y] != self.sig[x]).sum(axis=1) <= DISTANCE] if len(y) else y
@@ -302,9 +307,9 @@ def pairs_abroad(members: DataFrame) -> DataFrame:
         first, last = (t.column(c).to_numpy() for c in ("first", "last"))
         found = []
         for x in g.left:
-            y = g.allowed(x)
+            y = g.right
             met = (first[y] == first[x]) | (first[y] == last[x]) | (last[y] == first[x]) | (last[y] == last[x])
-            found += [(int(x), int(z)) for z in y[~met]]
+            found += [(int(x), int(z)) for z in g.allowed(x, y[~met])]
         return g.pairs(found)
 
     placed = placed_in_blocks(members).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "first", "last")
@@ -335,7 +340,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     live = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("key")
     apart = scratch.keep(labelled.join(live, "key", "left_semi").select("doc", "comp").distinct())
     sets = shingle_sets(texts, apart.select("doc"), scratch)
-    keyed = scratch.keep(prefixes(sets).join(apart, "doc"))
+    keyed = scratch.keep(prefixes(sets, scratch).join(apart, "doc"))
     # a shingle that one component alone holds in its prefixes makes no pair
     several = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m")
     keyed = scratch.keep(keyed.join(several, "key"))
