@@ -25,10 +25,16 @@ def tokens(text: Column) -> Column:
 
 
 def shingles(tokens: Column, width: int) -> Column:
-    """array<string>: windows of ``width`` tokens joined by a space, duplicates kept."""
-    n = F.size(tokens)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "))
-    return F.when(n >= width, windows).otherwise(F.expr("cast(array() as array<string>)"))
+    """array<string>: windows of ``width`` tokens joined by a space, duplicates kept.
+
+    The tokens are bound once: inside a lambda their expression would be evaluated again for every window.
+    """
+
+    def windows(t: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(width)), " "))
+        return F.when(F.size(t) >= width, made).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return F.element_at(F.transform(F.array(tokens), windows), 1)
 
 
 def exploded(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
