@@ -1,10 +1,12 @@
 """MinHash near-duplicates by a multi-index Hamming join over b-bit signatures.
 
-A text's signature has ``CHUNKS * CHUNK`` slots, each holding the low ``BITS`` bits of a minimum.  The signature
-is split into chunks; by the pigeonhole principle two signatures that differ in at most
-``GUARANTEED`` slots differ by at most one slot in some chunk.  Every chunk is indexed with its allowed
+Texts are linked from a similarity of ``percent`` on (85 unless told otherwise); every filter below follows from it (``Rule``).
+
+A text's signature has chunks of ``CHUNK`` slots, each holding the low ``BITS`` bits of a minimum.  The signature
+is split into chunks (``CHUNKS`` at 85); by the pigeonhole principle two signatures that differ in fewer than two
+slots a chunk (at most ``GUARANTEED`` at 85) differ by at most one slot in some chunk.  Every chunk is indexed with its allowed
 errors enumerated: once for each slot left out.  So all pairs under that distance share an index key;
-pairs of similarity 0.85 miss it with a probability below 1e-7.
+lower similarities have more chunks, so that pairs at ``percent`` miss it with a probability below 1e-7.
 
 Work is kept from growing with the square of a group:
 
@@ -12,7 +14,7 @@ Work is kept from growing with the square of a group:
 * every bucket first links its members to its smallest member only; those links, confirmed on
   full shingle sets, make components, and a bucket that lies in one component is done;
 * what is left (members of one bucket in different components, mostly texts that share a long passage) is split once more, exactly:
-  similar sets share a shingle among their first ``n - ceil(0.85 n) + 1`` in any fixed order, and the order
+  similar sets share a shingle among their first ``n - ceil(percent n / 100) + 1`` in any fixed order, and the order
   puts passages last, so texts that share only a passage part; the groups of one such shingle are split by set size,
   since similar sets have similar sizes, and compared in blocks of bounded size, signatures first, then full sets. Sets travel to their two largest groups only.
 
@@ -24,6 +26,10 @@ linked; a null id is never linked and is kept; an empty table gives an empty res
 
 from __future__ import annotations
 
+import functools
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,13 +39,42 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_checked, per_batch, tune
 from .components import connected_components
 
-CHUNKS, CHUNK, BITS = 12, 6, 16
-SLOTS = CHUNKS * CHUNK
+CHUNK, BITS, WORDS, PERCENT = 6, 16, 5, 85
+#: Probability that a pair at the threshold may miss the index, and standard deviations beyond which signatures are not confirmed.
+MISS, DEVIATIONS = 5e-8, 6.67
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What follows from the least similarity that links, a percentage."""
+
+    percent: int = PERCENT
+
+    def __post_init__(self):
+        if not 50 <= self.percent < 100:
+            raise ValueError(f"percent must lie in 50..99, not {self.percent}")
+
+    @property
+    def chunks(self) -> int:
+        p = self.percent / 100
+        return math.ceil(math.log(MISS) / math.log(1 - p**CHUNK - CHUNK * (1 - p) * p ** (CHUNK - 1)))
+
+    @property
+    def slots(self) -> int:
+        return self.chunks * CHUNK
+
+    @property
+    def distance(self) -> int:
+        """Signatures further apart than this are not confirmed."""
+        p = self.percent / 100
+        return math.floor(self.slots * (1 - p) + DEVIATIONS * math.sqrt(self.slots * p * (1 - p)))
+
+    def sizes_allow(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+
+
+CHUNKS, SLOTS = Rule().chunks, Rule().slots
 GUARANTEED = 2 * CHUNKS - 1
-#: Signatures further apart than this are not confirmed: beyond 6 standard deviations at similarity 0.85.
-DISTANCE = 31
-WORDS = 5
-PERCENT = 85
 #: Members compared with one another in one block.
 BLOCK = 1024
 #: Frequent shingles that the prefix order puts last.
@@ -48,14 +83,12 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
 def _slots(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_501)
     return rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-MUL, ADD = _slots(SLOTS)
-
-
 class Shingler:
     """Distinct 5-word shingles as 64-bit hashes; word hashes are remembered."""
 
@@ -82,21 +115,22 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray, slots: int = SLOTS) -> bytes:
     """Low 16 bits of each slot's minimum, after a multiply-add on the 64-bit hash."""
-    best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    mul, add = _slots(slots)
+    best = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 512):  # bounded memory on long texts
-        values = MUL[:, None] * shingles[i : i + 512]
-        values += ADD[:, None]
+        values = mul[:, None] * shingles[i : i + 512]
+        values += add[:, None]
         np.minimum(best, values.min(axis=1), out=best)
     best ^= best >> np.uint64(32)
     return (best & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, set_hash (two longs), sig, one row per row of ``docs``."""
     tune(docs.sparkSession)
-    shingler = Shingler()
+    shingler, slots = Shingler(), rule.slots
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, one, two, sigs = [], [], [], []
@@ -106,7 +140,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             h = xxhash.xxh3_128_intdigest(s.tobytes())
             one.append((h >> 64) - (1 << 63))
             two.append((h & (1 << 64) - 1) - (1 << 63))
-            sigs.append(signature(s) if len(s) else None)
+            sigs.append(signature(s, slots) if len(s) else None)
         i64 = pa.int64()
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, i64), pa.array(one, i64), pa.array(two, i64), pa.array(sigs, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
 
@@ -114,14 +148,15 @@ def sketch(docs: DataFrame) -> DataFrame:
     return per_batch(src, run, "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
-def indexed(reps: DataFrame) -> DataFrame:
+def indexed(reps: DataFrame, rule: Rule) -> DataFrame:
     """(key, doc) for every class representative."""
+    chunks = rule.chunks
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, sigs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-        s = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), CHUNKS, CHUNK).astype(np.uint64)
-        keys = np.empty((len(sigs), CHUNKS, CHUNK), np.uint64)
-        for c in range(CHUNKS):
+        s = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), chunks, CHUNK).astype(np.uint64)
+        keys = np.empty((len(sigs), chunks, CHUNK), np.uint64)
+        for c in range(chunks):
             for drop in range(CHUNK):
                 h = np.full(len(sigs), c * CHUNK + drop + 1, np.uint64)
                 for k in range(CHUNK):
@@ -129,18 +164,19 @@ def indexed(reps: DataFrame) -> DataFrame:
                         h = (h ^ s[:, c, k]) * ODD
                         h ^= h >> np.uint64(31)
                 keys[:, c, drop] = h
-        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, SLOTS))], names=["key", "doc"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, chunks * CHUNK))], names=["key", "doc"])
 
     return per_batch(reps.select("doc", "sig"), run, "key long, doc long")
 
 
-def near_signatures(pairs: DataFrame) -> DataFrame:
+def near_signatures(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b, n_a, n_b) whose signatures and sizes allow the similarity."""
+    slots, distance = rule.slots, rule.distance
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, SLOTS) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, slots) for i in (2, 3))
         n, m = (b.column(i).to_numpy() for i in (4, 5))
-        near = ((x != y).sum(axis=1) <= DISTANCE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        near = ((x != y).sum(axis=1) <= distance) & rule.sizes_allow(n, m)
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near))
 
     return per_batch(pairs.select("a", "b", "sig_a", "sig_b", "n_a", "n_b"), run, "a long, b long")
@@ -152,8 +188,8 @@ def with_signatures(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= 85 * union.  ``docs``: doc, text of representatives' ids."""
+def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    """Pairs whose full shingle sets have 100 * intersection >= percent * union.  ``docs``: doc, text of representatives' ids."""
     wanted = scratch.keep(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
     full = shingle_sets(docs, wanted, scratch)
     both = pairs.join(full.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(full.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
@@ -164,7 +200,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
             x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
             merged = np.sort(np.concatenate([x, y]))
             same = int((merged[1:] == merged[:-1]).sum())
-            good.append(100 * same >= PERCENT * (len(x) + len(y) - same))
+            good.append(100 * same >= rule.percent * (len(x) + len(y) - same))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     out = scratch.keep(per_batch(both.select("a", "b", "set_a", "set_b"), check, "a long, b long"))
@@ -184,7 +220,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFr
     return scratch.keep(per_batch(texts, sets, "doc long, set binary"), codec="none")
 
 
-def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
+def prefixes(sets: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     """(key, doc): the shingles of each set of which two similar sets share one.
 
     The order is by hash, with up to ``COMMON`` shingles that most of these sets hold moved to the end, rarest first.
@@ -213,7 +249,7 @@ def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
             if len(common.value):
                 at = np.minimum(np.searchsorted(common.value, s), len(common.value) - 1)
                 late = np.where(common.value[at] == s, ranks.value[at], -1)
-            size = len(s) - -(-PERCENT * len(s) // 100) + 1
+            size = len(s) - -(-rule.percent * len(s) // 100) + 1
             keys.append(s[np.lexsort((s, late))[:size]])
             docs.append(np.full(len(keys[-1]), d))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["key", "doc"])
@@ -221,7 +257,7 @@ def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return per_batch(sets, first, "key long, doc long")
 
 
-def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, allowed) -> list[tuple[int, int]]:
+def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, allowed, rule: Rule) -> list[tuple[int, int]]:
     """Places (x, y), x of ``left`` and y of ``right``, of sets that are similar; ``allowed(x)`` gives the y to look at.
 
     Intersections are counted for one x against all of ``right`` at a time.
@@ -245,17 +281,17 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, al
         else:
             same = np.array([held[pieces[place[int(y)]]].sum() for y in ys])
         held[own] = 0
-        out += [(int(x), int(y)) for y in ys[100 * same >= PERCENT * (sizes[x] + sizes[ys] - same)]]
+        out += [(int(x), int(y)) for y in ys[100 * same >= rule.percent * (sizes[x] + sizes[ys] - same)]]
     return out
 
 
-def placed_in_blocks(members: DataFrame) -> DataFrame:
+def placed_in_blocks(members: DataFrame, rule: Rule) -> DataFrame:
     """Members (key, doc, comp, n, ...) dealt to the groups (key, cls, i, j) in which they are compared.
 
     Keys are first split by size class (a set may match one of its own or the next class), then dealt into blocks
     of about ``BLOCK``; each pair of blocks is one group. What lies in one component is not placed.
     """
-    ratio = float(np.log(100 / PERCENT))
+    ratio = float(np.log(100 / rule.percent))
     cls = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")
     sized = members.withColumn("cls", F.explode(F.array(cls, cls + 1)))
     live = members.select("key", "comp", F.explode(F.array(cls, cls + 1)).alias("cls")).groupBy("key", "cls")
@@ -270,40 +306,41 @@ def placed_in_blocks(members: DataFrame) -> DataFrame:
 class Group:
     """The arrays of one group, and which members of its right side a left one has to meet."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, rule: Rule):
+        self.rule, self.distance = rule, rule.distance
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         self.own, self.doc, self.comp, self.n = (t.column(c).to_numpy() for c in ("own", "doc", "comp", "n"))
-        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, rule.slots)
         self.left, self.right, self.same = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j), i == j
 
     def allowed(self, x: int, among: np.ndarray | None = None) -> np.ndarray:
         y, n = self.right if among is None else among, self.n
-        y = y[(self.comp[y] != self.comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
+        y = y[(self.comp[y] != self.comp[x]) & self.rule.sizes_allow(n[y], n[x])]
         y = y[self.doc[y] > self.doc[x]] if self.same else y
-        return y[(self.sig[y] != self.sig[x]).sum(axis=1) <= DISTANCE] if len(y) else y
+        return y[(self.sig[y] != self.sig[x]).sum(axis=1) <= self.distance] if len(y) else y
 
     def pairs(self, found: list[tuple[int, int]]) -> pa.Table:
         made = [sorted((int(self.doc[x]), int(self.doc[y]))) for x, y in found]
         return pa.table({"a": pa.array([p[0] for p in made], pa.int64()), "b": pa.array([p[1] for p in made], pa.int64())})
 
 
-def links_at_home(members: DataFrame) -> DataFrame:
+def links_at_home(members: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between members (key, doc, comp, n, sig, set) of one home; only links that full sets confirm are emitted."""
 
     def compare(t: pa.Table) -> pa.Table:
-        g = Group(t)
+        g = Group(t, rule)
         sets = [np.frombuffer(x, np.int64) for x in t.column("set").to_pylist()]
-        return g.pairs(links_within(sets, g.left, g.right, g.allowed) if len(g.left) and len(g.right) else [])
+        return g.pairs(links_within(sets, g.left, g.right, g.allowed, rule) if len(g.left) and len(g.right) else [])
 
-    placed = placed_in_blocks(members).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "set")
+    placed = placed_in_blocks(members, rule).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "set")
     return placed.groupBy("key", "cls", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def pairs_abroad(members: DataFrame) -> DataFrame:
+def pairs_abroad(members: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs (a, b) between members (key, doc, comp, n, sig, homes) of one key that share no home."""
 
     def compare(t: pa.Table) -> pa.Table:
-        g = Group(t)
+        g = Group(t, rule)
         first, last = (t.column(c).to_numpy() for c in ("first", "last"))
         found = []
         for x in g.left:
@@ -312,27 +349,27 @@ def pairs_abroad(members: DataFrame) -> DataFrame:
             found += [(int(x), int(z)) for z in g.allowed(x, y[~met])]
         return g.pairs(found)
 
-    placed = placed_in_blocks(members).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "first", "last")
+    placed = placed_in_blocks(members, rule).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "first", "last")
     return placed.groupBy("key", "cls", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
+def link_documents(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, Scratch]:
     """(rows, components, scratch): rows (doc_id, n, doc) name each row's class, components are (node, comp) over classes.
 
     A class (equal shingle sets) is named by its smallest id.
     """
-    spark = docs.sparkSession
+    spark, rule = docs.sparkSession, Rule(percent)
     scratch = Scratch(spark, "neardup")
-    sketches = scratch.keep(sketch(docs))
+    sketches = scratch.keep(sketch(docs, rule))
     linked = sketches.where("n > 0 AND doc_id IS NOT NULL")
     reps = scratch.keep(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count("*").alias("m")))
-    keyed = scratch.keep(indexed(reps))
+    keyed = scratch.keep(indexed(reps, rule))
     buckets = keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     members = scratch.keep(keyed.join(buckets.select("key", "least"), "key"))
     scratch.drop(keyed)
     stars = scratch.keep(members.where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct())
     texts = docs.select(docs["doc_id"].cast("long").alias("doc"), "text")
-    first = confirm(scratch.keep(near_signatures(with_signatures(stars, reps))), texts, scratch)
+    first = confirm(scratch.keep(near_signatures(with_signatures(stars, reps), rule)), texts, scratch, rule)
     # members of one bucket that are still apart
     comps = scratch.keep(connected_components(first, scratch))
     labelled = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
@@ -340,7 +377,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     live = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("key")
     apart = scratch.keep(labelled.join(live, "key", "left_semi").select("doc", "comp").distinct())
     sets = shingle_sets(texts, apart.select("doc"), scratch)
-    keyed = scratch.keep(prefixes(sets, scratch).join(apart, "doc"))
+    keyed = scratch.keep(prefixes(sets, scratch, rule).join(apart, "doc"))
     # a shingle that one component alone holds in its prefixes makes no pair
     several = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m")
     keyed = scratch.keep(keyed.join(several, "key"))
@@ -351,9 +388,9 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     homes = scratch.keep(one.join(two, "doc", "left").withColumn("last", F.coalesce("last", "first")))
     known = apart.join(reps.select("doc", "n", "sig"), "doc")
     at_home = homes.select("doc", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
-    settled = scratch.keep(links_at_home(at_home.join(known, "doc").join(sets, "doc")))
+    settled = scratch.keep(links_at_home(at_home.join(known, "doc").join(sets, "doc"), rule))
     abroad = keyed.select("key", "doc").join(known, "doc").join(homes, "doc")
-    second = settled.union(confirm(scratch.keep(pairs_abroad(abroad)), texts, scratch))
+    second = settled.union(confirm(scratch.keep(pairs_abroad(abroad, rule)), texts, scratch, rule))
     # rows take their class's name; only classes of several rows need a join
     several = reps.where("m > 1").select("h1", "h2", "n", "doc")
     rows = linked.join(several, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("doc", "doc_id").alias("doc"))
@@ -366,18 +403,18 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     return rows, comps, scratch
 
 
-def components_of(docs: DataFrame) -> DataFrame:
+def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    rows, comps, _ = link_documents(docs)
+    rows, comps, _ = link_documents(docs, percent)
     comp = F.coalesce("comp", "doc")
     return rows.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept")
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one of smallest id; rows that repeat its id become one row."""
-    rows, comps, scratch = link_documents(docs)
+    rows, comps, scratch = link_documents(docs, percent)
     named = rows.where("doc_id IS NOT NULL AND n > 0").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     gone = scratch.keep(named.where(F.coalesce("comp", "doc") < F.col("doc_id")).select("doc_id").distinct())
     left = join_checked(docs, gone, ["doc_id"], "left_anti", gone.count())

@@ -49,7 +49,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.components_of(table(spark, sf_dir, "documents"))
+    return neardup.components_of(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
