@@ -6,9 +6,10 @@ dots, addresses of the longer internet protocol.  Texts are cut into overlapping
 a cut are left to the window beside it, and one set of spans without overlap and of the greatest total score is chosen over the whole text.
 Each added span must pass a plain check of its kind, and may not overlap a base span.
 
-Every kind needs a trigger: a digit, an at sign, the word ``dot`` or a bracketed ``at``.  Only stretches around
-triggers (``REACH`` characters to either side) are decoded, since a span without one would fail its check;
-this covers whole texts.
+Every form that passes its check holds a trigger: a digit, an at sign, the word ``dot``, a bracketed ``at``, a plain ``at`` before a
+host with a full stop, or colons as the longer internet protocol has them.  Windows lie on a fixed grid over the whole text, and
+only those that meet a trigger are decoded: a span in any other would fail its check, and spans that fail it are left out before
+the choice, so decoding every window gives the same spans.
 
 Defined results: a null text counts as empty; every row gives one row; an empty table gives an
 empty result; extra columns are ignored.
@@ -21,6 +22,7 @@ import hashlib
 import ipaddress
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[({<] ?[aA][tT] ?[\])}>]")
-REACH, WINDOW, STRIDE = 48, 96, 48
+#: One of these is in whatever ``plausible`` accepts. Each begins with a character that a text is searched for quickly.
+TRIGGERS = (
+    re.compile(r"[0-9@]+|\b[dD][oO][tT]\b|[\[({<] ?[aA][tT] ?[\])}>]"),
+    re.compile(r" [aA][tT] [\w-]+\.\w"),
+    re.compile(r":(?::|(?<=[a-fA-F]:)[a-fA-F])"),
+)
+WINDOW, STRIDE = 96, 48
 
 
 def luhn(digits: str) -> bool:
@@ -181,29 +188,22 @@ def trained(windows: int = 3_000, steps: int = 420) -> Tagger:
     return tagger
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within ``REACH`` of a trigger, joined where they meet."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
+def windows_of(text: str, gated: bool = True) -> list[tuple[int, int, int, int]]:
+    """Overlapping windows (start, end, and the text they cut): those of a fixed grid that meet a trigger, or all.
 
-def windows_of(text: str) -> list[tuple[int, int, int, int]]:
-    """Overlapping windows (start, end, and the stretch they cut)."""
-    out = []
-    for a, b in stretches(text):
-        at = a
-        while True:
-            out.append((at, min(at + WINDOW, b), a, b))
-            if at + WINDOW >= b:
-                break
-            at += STRIDE
-    return out
+    The last window ends with the text and is as long as the others, if the text is.
+    """
+    n = len(text)
+    last = -(-max(0, n - WINDOW) // STRIDE)
+    if gated:
+        hits = [m.span() for t in TRIGGERS for m in t.finditer(text)]
+        met = {k for a, b in hits for k in range(max(0, (a - WINDOW) // STRIDE + 1), min(last, (b - 1) // STRIDE) + 1)}
+        if any(b > n - WINDOW for _, b in hits):
+            met.add(last)
+    else:
+        met = range(last + 1 if n else 0)
+    starts = (min(k * STRIDE, max(0, n - WINDOW)) for k in sorted(met))
+    return [(a, min(a + WINDOW, n), 0, n) for a in starts]
 
 
 def spans_in(tags: np.ndarray, margin: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -243,36 +243,42 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return sorted(out)
 
 
-def tagged_spans(texts: list[str], tagger: Tagger, batch: int = 2_048) -> list[list[tuple[int, int, int]]]:
-    """Reconciled spans of each text; windows of all texts are decoded together, a bounded number at a time."""
-    work = [(i, *w) for i, t in enumerate(texts) for w in windows_of(t)]
+def in_batches(work: list[tuple[int, ...]], batch: int) -> Iterator[list[tuple[int, ...]]]:
+    """Windows (text, start, end, ...) of one length together, so that none is padded: a window's tags do not hang on the others."""
+    by_length: dict[int, list] = {}
+    for w in work:
+        by_length.setdefault(w[2] - w[1], []).append(w)
+    for same in by_length.values():
+        yield from (same[s : s + batch] for s in range(0, len(same), batch))
+
+
+def tagged_spans(texts: list[str], tagger: Tagger, batch: int = 2_048, gated: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Reconciled plausible spans of each text; windows of all texts are decoded together, a bounded number at a time."""
+    work = [(i, *w) for i, t in enumerate(texts) for w in windows_of(t, gated)]
     codes: dict[int, np.ndarray] = {}
     found: list[list] = [[] for _ in texts]
-    for s in range(0, len(work), batch):
-        part = work[s : s + batch]
+    for part in in_batches(work, batch):
         for i in {w[0] for w in part} - codes.keys():
             codes[i] = encode(texts[i])
-        lengths = np.array([b - a for _, a, b, _, _ in part])
-        x = np.zeros((len(part), int(lengths.max())), np.uint8)
-        for r, (i, a, b, _, _) in enumerate(part):
-            x[r, : b - a] = codes[i][a:b]
-        tags, margin = tagger.decode(x, lengths)
+        x = np.stack([codes[i][a:b] for i, a, b, _, _ in part])
+        tags, margin = tagger.decode(x, np.full(len(part), x.shape[1]))
         for r, (i, a, b, lo, hi) in enumerate(part):
             if not tags[r].any():
                 continue
-            for k, p, q, score in spans_in(tags[r, : b - a], margin[r, : b - a]):
+            for k, p, q, score in spans_in(tags[r], margin[r]):
                 if (p == 0 and a > lo) or (q == b - a and b < hi):
                     continue  # cut here; whole in the window beside
-                found[i].append((k, a + p, a + q, score))
+                if plausible(k, texts[i][a + p : a + q]):
+                    found[i].append((k, a + p, a + q, score))
     return [reconcile(f) for f in found]
 
 
-def scan(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
+def scan(texts: list[str], tagger: Tagger, gated: bool = True) -> list[tuple[list, list]]:
     """For each text its base spans and all spans, by kind, then start."""
     out = []
-    for text, more in zip(texts, tagged_spans(texts, tagger), strict=True):
+    for text, more in zip(texts, tagged_spans(texts, tagger, gated=gated), strict=True):
         base = base_spans(text)
-        added = [(k, a, b) for k, a, b in more if not any(a < e and s < b for _, s, e in base) and plausible(k, text[a:b])]
+        added = [(k, a, b) for k, a, b in more if not any(a < e and s < b for _, s, e in base)]
         out.append((base, sorted(base + added)))
     return out
 
