@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import params
 from ..functions import popcount
 from ..hashing import key_of
 from ..operators import bloom, cms, hll, ordered, similarity
@@ -130,8 +131,11 @@ def quotient_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quotient_layout(spark: SparkSession, d: str) -> DataFrame:
-    some = table(spark, d, "supplier").where("s_suppkey <= 700")
-    return fp.quotient_layout(fp.build(some, _key("s_suppkey"), QUOTIENT_SMALL), QUOTIENT_SMALL)
+    """The whole table, in a filter that grows with its rows from the smallest size on."""
+    suppliers = table(spark, d, "supplier")
+    bits = max(QUOTIENT_SMALL.quotient_bits, params.quotient_bits(suppliers.count() or 1))
+    spec = fp.QuotientSpec(bits, QUOTIENT_SMALL.remainder_bits)
+    return fp.quotient_layout(fp.build(suppliers, _key("s_suppkey"), spec), spec)
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
