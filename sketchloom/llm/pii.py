@@ -3,7 +3,7 @@
 The tagger is trained here, in numpy, from generated sentences with labelled spans (fixed seed).  It finds
 forms outside the patterns: spelled-out addresses (``ann at mail dot com``), phone numbers without a plus sign, card numbers with
 dots, addresses of the longer internet protocol.  Texts are cut into overlapping windows; every window is decoded, spans that touch
-a cut are left to the window beside it, and one set of spans without overlap and of the greatest total score is chosen over the whole text.
+a cut and are whole in no window are decoded again in a window around them that grows until they are whole, and one set of spans without overlap and of the greatest total score is chosen over the whole text.
 Each added span must pass a plain check of its kind, and may not overlap a base span.
 
 Every form that passes its check holds a trigger: a digit, an at sign, the word ``dot``, a bracketed ``at``, a plain ``at`` before a
@@ -244,32 +244,74 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 def in_batches(work: list[tuple[int, ...]], batch: int) -> Iterator[list[tuple[int, ...]]]:
-    """Windows (text, start, end, ...) of one length together, so that none is padded: a window's tags do not hang on the others."""
+    """Windows (text, start, end, ...) of one length together, so that none is padded: a window's tags do not hang on the others.
+
+    A batch holds the characters of ``batch`` plain windows at most, or one window.
+    """
     by_length: dict[int, list] = {}
     for w in work:
         by_length.setdefault(w[2] - w[1], []).append(w)
-    for same in by_length.values():
-        yield from (same[s : s + batch] for s in range(0, len(same), batch))
+    for length, same in by_length.items():
+        size = max(1, batch * WINDOW // max(WINDOW, length))
+        yield from (same[s : s + size] for s in range(0, len(same), size))
+
+
+def joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals, with those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def grown(a: int, b: int, n: int, size: int) -> tuple[int, int]:
+    """A window around (a, b) of a text of n characters: ``size``, doubled until it leaves half of itself free, or the text."""
+    while size < 2 * (b - a):
+        size *= 2
+    start = max(0, min((a + b - size) // 2, n - size))
+    return start, min(start + size, n)
 
 
 def tagged_spans(texts: list[str], tagger: Tagger, batch: int = 2_048, gated: bool = True) -> list[list[tuple[int, int, int]]]:
     """Reconciled plausible spans of each text; windows of all texts are decoded together, a bounded number at a time."""
-    work = [(i, *w) for i, t in enumerate(texts) for w in windows_of(t, gated)]
+    work = [(i, *w[:2]) for i, t in enumerate(texts) for w in windows_of(t, gated)]
+    around: dict[tuple[int, int, int], tuple[int, int]] = {}  # a grown window's interval
     codes: dict[int, np.ndarray] = {}
     found: list[list] = [[] for _ in texts]
-    for part in in_batches(work, batch):
-        for i in {w[0] for w in part} - codes.keys():
-            codes[i] = encode(texts[i])
-        x = np.stack([codes[i][a:b] for i, a, b, _, _ in part])
-        tags, margin = tagger.decode(x, np.full(len(part), x.shape[1]))
-        for r, (i, a, b, lo, hi) in enumerate(part):
-            if not tags[r].any():
-                continue
-            for k, p, q, score in spans_in(tags[r], margin[r]):
-                if (p == 0 and a > lo) or (q == b - a and b < hi):
-                    continue  # cut here; whole in the window beside
-                if plausible(k, texts[i][a + p : a + q]):
-                    found[i].append((k, a + p, a + q, score))
+    size = WINDOW
+    while work:
+        whole: dict[int, list] = {}
+        cut: dict[int, list] = {}
+        for part in in_batches(work, batch):
+            for i in {w[0] for w in part} - codes.keys():
+                codes[i] = encode(texts[i])
+            x = np.stack([codes[i][a:b] for i, a, b in part])
+            tags, margin = tagger.decode(x, np.full(len(part), x.shape[1]))
+            for r, (i, a, b) in enumerate(part):
+                if not tags[r].any():
+                    continue
+                lo, hi = around.get((i, a, b), (a, b))
+                for k, p, q, score in spans_in(tags[r], margin[r]):
+                    if a + q <= lo or a + p >= hi:
+                        continue
+                    if (p == 0 and a) or (q == b - a and b < len(texts[i])):
+                        cut.setdefault(i, []).append((k, min(lo, a + p) if around else a + p, max(hi, a + q) if around else a + q))
+                        continue
+                    whole.setdefault(i, []).append((k, a + p, a + q))
+                    if plausible(k, texts[i][a + p : a + q]):
+                        found[i].append((k, a + p, a + q, score))
+        # what is cut in one window and whole in another is settled; the rest grows
+        size, work, around = 2 * size, [], {}
+        for i, pieces in cut.items():
+            rest = joined([(a, b) for k, a, b in pieces if not any(k == j and s <= a and b <= e for j, s, e in whole.get(i, ()))])
+            for a, b in rest:
+                w = (i, *grown(a, b, len(texts[i]), size))
+                work += [w] if w not in around else []
+                at = around.get(w, (a, b))
+                around[w] = min(a, at[0]), max(b, at[1])
     return [reconcile(f) for f in found]
 
 

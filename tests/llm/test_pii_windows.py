@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from sketchloom.llm import pii
@@ -54,3 +55,46 @@ def test_gated_and_ungated_scans_agree(spark, tagger):
     assert gated == every
     assert sum(len(a) - len(b) for b, a in gated) > 50
     assert sum(len(pii.windows_of(t)) for t in texts) < sum(len(pii.windows_of(t, gated=False)) for t in texts) / 2
+
+
+class Marks:
+    """In a tagger's place: brackets begin and end a span of the first kind; a window without the beginning sees a span from its start on."""
+
+    def decode(self, x, lengths):
+        at, end = pii.encode("~")[0], pii.encode("^")[0]
+        tags = np.zeros(x.shape, np.int8)
+        for r, row in enumerate(x):
+            begins, ends = np.flatnonzero(row == at), np.flatnonzero(row == end)
+            if len(ends) and (not len(begins) or ends[0] < begins[0]):
+                tags[r, : ends[0]], tags[r, 0] = 2, 1
+            for b in begins:
+                e = next((e for e in ends if e > b), len(row))
+                if b + 1 < e:
+                    tags[r, b + 1 : e], tags[r, b + 1] = 2, 1
+        return tags, np.ones(x.shape)
+
+
+@pytest.mark.parametrize("length", [20, 47, 48, 61, 95, 96, 150, 700])
+def test_spans_are_whole_at_every_alignment(length):
+    """Digits before and behind keep every window alive."""
+    span = "a" * (length - 10) + " [at] b.de"
+    for shift in range(100):
+        text = "7" * shift + " 1 2 3 4 5 6 7 8 9" * 4 + "~" + span + "^" + " 1 2 3 4 5 6 7 8 9" * 8
+        a = text.index("~") + 1
+        assert pii.tagged_spans([text], Marks()) == [[(0, a, a + length)]], shift
+
+
+def test_long_spelled_addresses(tagger):
+    """As often found at one place of the grid as at another."""
+    long, hits = "jonathan.montgomery [at] chemistry [dot] university [dot] edu", []
+    for shift in range(0, 96, 3):
+        text = ("12 " * 40)[:shift] + "tel 4 or " + long + " and 12 more " * 12
+        hits.append(long in [text[a:b] for _, a, b in pii.scan([text], tagger)[0][1]])
+    print("found", sum(hits), "of", len(hits))
+    assert sum(hits) >= 0.9 * len(hits)
+
+
+def test_growing_ends(tagger):
+    """Long runs that the tagger may take for one span grow to the text and no further."""
+    for t in ["0" * 5_000, "4111-" * 2_000, "a@b." * 1_000, "dead:" * 2_000]:
+        pii.scan([t], tagger)
