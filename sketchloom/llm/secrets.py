@@ -4,7 +4,8 @@ Base spans come from three fixed patterns.  The method adds more: a lexer reads
 configuration syntax (``name = literal``, ``"name": literal``, ``name: literal``, ``name := literal``,
 ``"a" + "b"``) into name-literal pairs, propagates constants (a name used as a value stands
 for the literal that was assigned to it, through any chain of names), and scores each literal by
-the sensitivity of the names it reaches plus its own form.
+the sensitivity of the names it reaches plus its own form.  A value put together from several literals is
+scored as a whole too, and counts with all of them.
 
 Defined results: a null text counts as empty; every row gives one row, repeated rows included;
 an empty table gives an empty result; only the key and text columns are read.
@@ -12,6 +13,7 @@ an empty table gives an empty result; only the key and text columns are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -37,6 +39,7 @@ NAME_WEIGHTS = {
 }
 NAME_LEAST = 4
 SCORE_LEAST = 6.0
+EXPANSIONS = 1_000
 PLACEHOLDER = re.compile(r"(?:change|replace|example|placeholder|your[-_ ]|dummy|redacted|\$\{|\{\{|<[^>]*>|x{6,}|\*{3,}|null|none|true|false)", re.I)
 
 LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]<>+]+)"""
@@ -78,6 +81,32 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     return pairs
 
 
+def put_together(text: str, at: int, name: str, parts: list, assigned: dict[str, list]) -> list[tuple[int, int]]:
+    """The literals of a name's whole value, in order; a name in it stands for what was last assigned to it, or is first assigned.
+
+    A name is not followed inside itself, and after ``EXPANSIONS`` of them none is followed twice.
+    """
+    out, todo, inside, seen, left = [], [(at, p) for p in reversed(parts)], {name}, {name}, EXPANSIONS
+    while todo:
+        where, part = todo.pop()
+        if part is None:  # the end of a name's value
+            inside.discard(where)
+            continue
+        a, b, quoted = part
+        value = text[a:b]
+        if quoted or not IDENTIFIER.fullmatch(value):
+            out += [(a, b)] if a < b else []
+        elif value in assigned and value not in inside and (left > 0 or value not in seen):
+            left -= 1
+            inside.add(value)
+            seen.add(value)
+            places = assigned[value]
+            start, held = places[max(0, bisect.bisect_left(places, where, key=lambda x: x[0]) - 1)]
+            todo.append((value, None))
+            todo.extend((start, p) for p in reversed(held))
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals whose own form and whose best target name together score high enough."""
     pairs = lex(text)
@@ -100,7 +129,16 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                     todo.extend((p, False) for p in owners[value])
             elif quoted or direct:
                 best[a, b] = max(best.get((a, b), 0), weight)
-    return [span for span, weight in best.items() if weight + literal_score(text[span[0] : span[1]]) >= SCORE_LEAST]
+    good = {span for span, weight in best.items() if weight + literal_score(text[span[0] : span[1]]) >= SCORE_LEAST}
+    assigned: dict[str, list] = {}
+    for name, parts in pairs:
+        assigned.setdefault(name, []).append((parts[0][0], parts))
+    for name, parts in pairs:
+        if (weight := name_score(name)) >= NAME_LEAST:
+            held = put_together(text, parts[0][0], name, parts, assigned)
+            if len(held) > 1 and weight + literal_score("".join(text[a:b] for a, b in held)) >= SCORE_LEAST:
+                good.update(held)
+    return sorted(good)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
