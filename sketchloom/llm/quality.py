@@ -31,6 +31,7 @@ from .common import Scratch, per_batch, tune
 
 BUCKET_BITS = 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
+PIECE = 12
 RUNS = re.compile(r"(.)\1\1+")
 
 
@@ -53,13 +54,20 @@ class _Classes(dict):
 
 
 class Featurizer:
-    """Hashed n-grams (1 to 3) of token shapes; a token equal to the one before has a shape of its own."""
+    """Hashed n-grams (1 to 3) of token shapes; a token equal to the one before has a shape of its own.
+
+    A shape of more than ``PIECE`` characters is cut into pieces of that length, which all count, as if they were tokens.
+    """
 
     def __init__(self, most: int = 400_000):
         self.classes, self.known, self.most = _Classes(), {}, most
 
-    def _shape(self, w: str) -> int:
-        return zlib.crc32(RUNS.sub(r"\1\1", w.translate(self.classes))[:12].encode())
+    def _shape(self, w: str) -> int | np.ndarray:
+        """One hash, or those of the pieces."""
+        shape = RUNS.sub(r"\1\1", w.translate(self.classes))
+        if len(shape) <= PIECE:
+            return zlib.crc32(shape.encode())
+        return np.array([zlib.crc32(shape[i : i + PIECE].encode()) for i in range(0, len(shape), PIECE)], np.uint64)
 
     def buckets(self, text: str | None) -> np.ndarray:
         words = text.split() if text else []
@@ -72,8 +80,13 @@ class Featurizer:
             if w not in known:
                 known[w] = self._shape(w)
         n = len(words)
-        s = np.fromiter(map(known.__getitem__, words), np.uint64, n)
         again = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), bool, n - 1)
+        try:
+            s = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        except (TypeError, ValueError):  # some are in pieces
+            made = [np.atleast_1d(np.asarray(known[w], np.uint64)) for w in words]
+            s, again = np.concatenate(made), np.repeat(np.append(False, again), [len(x) for x in made])[1:]
+            n = len(s)
         s[1:][again] ^= np.uint64(0x5BD1E995)
         grams = [s + np.uint64(1)]
         if n > 1:
