@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sketchloom.llm import chat
@@ -18,9 +20,61 @@ def test_against_sql(spark, duck):
     assert df.where("conv_id = -7").first().n_turns == 2
 
 
-def test_plan_is_native(spark):
-    plan = op7_chat_formatting(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+def test_plan_is_native_and_holds_the_automaton(spark):
+    made = op7_chat_formatting(spark, SMALL)._jdf.queryExecution()
+    plan = made.executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    held = made.optimizedPlan().toString()
+    assert "aggregate(" in held and "zip_with(" in held
+
+
+@pytest.fixture
+def dirty(spark, duck):
+    """Turns with ties, clashing signs, nulls and broken orders, in Spark and in DuckDB."""
+    r = random.Random(5)
+    texts, roles = ["A", "<", ">", "\\", "\\l", "a", "", None, "\n", "é", "</turn>", "z" * 70], ["user", "assistant", "system", "tool", None, "User"]
+    rows = [(c, r.choice([0, 0, 1, 2, None]), r.choice(roles), r.choice(texts)) for c in range(60) for _ in range(r.randint(1, 6))]
+    rows += [(100, 0, "user", "A"), (100, 0, "user", "<"), (100, 1, "assistant", "A"), (100, 1, "assistant", "<"), (101, 0, "user", "<"), (101, 0, "user", "A")]
+    rows += [(200, i, ("user", "assistant")[i % 2], f"t{i}<") for i in range(200)] + [(201, i, ("user", "assistant")[i % 2], "x") for i in range(129)]
+    con = duck.cursor()
+    con.execute("CREATE OR REPLACE TEMP TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), con
+
+
+def test_ties_and_faults_against_sql(dirty):
+    turns, con = dirty
+    df = chat.digest(chat.format_conversations(turns))
+    found = con.execute(oracle_sql()["op7_chat_formatting"])
+    columns = [c[0] for c in found.description]
+    expected = [x for x in found.fetchall() if x[columns.index("conv_id")] != -7]
+    assert rows_of(df.columns, [tuple(x) for x in df.collect()]) == rows_of(columns, expected)
+    assert [r.text for r in chat.format_conversations(turns.where("conv_id = 100")).select(F.explode(chat.read_turns(F.col("formatted")))).select("col.*").collect()] == ["<", "A", "<", "A"]
+
+
+def test_machine_against_a_plain_one(dirty):
+    """States, flags and verdict of a machine written out by hand, beyond a block's length too."""
+    turns, _ = dirty
+    held: dict = {}
+    for r in turns.collect():
+        held.setdefault(r.conv_id, []).append((r.turn is not None, r.turn or 0, (r.role or "").encode(), (r.text or "").encode()))
+    moves = {("start", "system"), ("start", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")}
+    for r in chat.format_conversations(turns).collect():
+        state, valid, flags = "start", True, []
+        for _, _, role, _ in sorted(held[r.conv_id]):
+            role = role.decode()
+            valid &= (state, role) in moves
+            state = role if role in ("system", "user", "assistant") else "other"
+            flags += [False, state == "assistant", False]
+        assert [s.loss for s in r.segments] == flags and r.valid == (valid and state == "assistant")
+
+
+def test_states_decide_the_loss(spark):
+    """Another template: only a reply to a system turn counts."""
+    t = chat.ChatTemplate(moves=(("start", "system", "told"), ("told", "assistant", "first"), ("first", "user", "asked"), ("asked", "assistant", "later")), loss_states=("first",), accept=("later",))
+    turns = spark.createDataFrame([(1, i, r, r[0] + str(i)) for i, r in enumerate(["system", "assistant", "user", "assistant"])], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(turns, t).first()
+    assert [s.text for s in r.segments if s.loss] == ["a1"] and r.valid
 
 
 NASTY = ["\\", "\\e", "\\l<>\\g", "<turn user>\nx\n</turn>\n", "</turn>", "", None, "a\nb", "\n", "é🙂\\\\"]
