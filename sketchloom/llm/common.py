@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side up to which it may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from ..shipping import ship
+
+#: Bytes of a side up to which it may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 #: Texts in one Arrow batch: some of them are long.
 BATCH_ROWS = 1_000
 
@@ -22,38 +22,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
 def tune(spark: SparkSession) -> None:
-    """Arrow batches small enough for tables of long texts; the package itself travels to the executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).parents[2]
-        path = f"{tempfile.mkdtemp(prefix='sketchloom-')}/sketchloom_package.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted((root / "sketchloom").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        context.addPyFile(path)
-        _shipped.add(context.applicationId)
+    """Arrow batches small enough for tables of long texts; the package itself travels to the executors.
+
+    The batch size is read when a plan runs, so it is a setting of the session: it is lowered where it is higher, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+    """The folder all executors share, as the session or the cluster names it.
 
-    Only where the setting is missing (tests, a single machine) a local folder is made
-    and remembered in the session.
+    Where the setting is missing a local folder is made and remembered, but only if driver and executors are one
+    process (tests, a single machine); on a cluster the missing setting is an error.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sketchloom.shared.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("sketchloom.shared.dir", None)
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sketchloom-")
         spark.conf.set("sketchloom.shared.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of this process's scratch tables, oldest first.
+_roots: list[str] = []
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    They live until ``release`` or, since a lazy result may still read them, until the driver's JVM ends in good order
+    (the file system then deletes them); a driver that is killed leaves them to whoever cleans the folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -64,21 +74,44 @@ class Scratch:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.option("compression", codec).parquet(path)
+        if self.made == 1:
+            _roots.append(self.root)
+            at, system = _path(self.spark, self.root)
+            system.deleteOnExit(at)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that no later plan reads."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            at, system = _path(self.spark, df._scratch_path)
+            system.delete(at, True)
+
+
+def scratch_mark() -> int:
+    """A point in time for ``release``."""
+    return len(_roots)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Remove the scratch tables made between two marks; results that still read them are lost."""
+    for root in _roots[since:until]:
+        at, system = _path(spark, root)
+        system.delete(at, True)
+    del _roots[since:until]
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes that the rows of a small table take, roughly: text and binary by their length, other columns eight each."""
+    wide = [F.coalesce(F.octet_length(df[c]), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    return df.select(sum(wide, F.lit(16)).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``small``, known to hold ``rows`` rows: broadcast up to ``limit``, a shuffle join beyond."""
-    return big.join(F.broadcast(small) if rows <= limit else small.hint("merge"), on, how)
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int | None = None) -> DataFrame:
+    """Join ``small``, a kept table: broadcast if its measured bytes allow it, a shuffle join beyond."""
+    fits = bytes_of(small) <= (BROADCAST_BYTES if limit is None else limit)
+    return big.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -97,9 +130,9 @@ def texts_of(batch: pa.RecordBatch, name: str = "text", empty: str | None = "")
     return [empty if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def fresh_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``df`` has it (names are compared without case)."""
+def fresh_name(df: DataFrame, name: str, *ends: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, nor it with one of ``ends`` (names are compared without case)."""
     taken = {c.lower() for c in df.columns}
-    while name in taken:
+    while any(name + e in taken for e in ("", *ends)):
         name += "_"
     return name

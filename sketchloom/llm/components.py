@@ -9,13 +9,15 @@ from .common import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): the smallest node that each node reaches; only nodes with an edge appear.
+    """(node, comp): the smallest node that each node reaches; only nodes with an edge to another appear.
+
+    Edges may repeat, lie either way round or join a node to itself; an edge with a null end counts as none; without edges the result is empty.
 
     Alternating large-star and small-star steps: every step links neighbours to their common
     minimum, so hubs shrink and the number of rounds is logarithmic.  Minima are partial aggregates, and the
     joins back on a hub are ordinary joins that adaptive execution can split.
     """
-    now = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())  # a null end is dropped here too
     before = None
     while True:
         # large star: neighbours larger than u go to the least of u and its neighbours

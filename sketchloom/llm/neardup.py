@@ -5,8 +5,16 @@ Texts are linked from a similarity of ``percent`` on (85 unless told otherwise);
 A text's signature has chunks of ``CHUNK`` slots, each holding the low ``BITS`` bits of a minimum.  The signature
 is split into chunks (``CHUNKS`` at 85); by the pigeonhole principle two signatures that differ in fewer than two
 slots a chunk (at most ``GUARANTEED`` at 85) differ by at most one slot in some chunk.  Every chunk is indexed with its allowed
-errors enumerated: once for each slot left out.  So all pairs under that distance share an index key;
-lower similarities have more chunks, so that pairs at ``percent`` miss it with a probability below 1e-7.
+errors enumerated: once for each slot left out.
+
+What is certain and what is only likely: all pairs of signatures at a distance up to ``GUARANTEED`` (23 of 72 slots at 85) share an index key.
+Candidates are confirmed up to ``Rule.distance`` (31 at 85), which lies ``DEVIATIONS`` standard deviations above the mean distance of a pair at
+the threshold; between the two a pair shares a key only if its differences leave some chunk with one at most.  Counting both, a pair exactly at
+``percent`` is missed with a probability below 1e-7 (lower percentages have more chunks for that), a more similar one with less.
+A link, once found, is always confirmed on full sets, so none is wrong.
+
+Which links come from where: the Hamming join gives the links of every bucket's members to its smallest member.  Where a bucket's members
+stay apart after those, the remaining links among them come from an exact prefix join on shingles (below), within which signatures only rule out.
 
 Work is kept from growing with the square of a group:
 
@@ -16,7 +24,9 @@ Work is kept from growing with the square of a group:
 * what is left (members of one bucket in different components, mostly texts that share a long passage) is split once more, exactly:
   similar sets share a shingle among their first ``n - ceil(percent n / 100) + 1`` in any fixed order, and the order
   puts passages last, so texts that share only a passage part; the groups of one such shingle are split by set size,
-  since similar sets have similar sizes, and compared in blocks of bounded size, signatures first, then full sets. Sets travel to their two largest groups only.
+  since similar sets have similar sizes, and compared in blocks of bounded size. Ids and signatures travel to the blocks; a set follows only where its
+  signature has found a partner, and only to its two largest groups (these settle the most pairs without emitting any; pairs that meet elsewhere are
+  emitted and confirmed). Every block is a task's unit, dealt by an explicit number of partitions.
 
 Defined results: ASCII letters are lower-cased, words are runs without the six ASCII spaces; a text of fewer than
 five words is one shingle; a null text, or one without words, has no set and links with nothing;
@@ -77,6 +87,10 @@ CHUNKS, SLOTS = Rule().chunks, Rule().slots
 GUARANTEED = 2 * CHUNKS - 1
 #: Members compared with one another in one block.
 BLOCK = 1024
+#: Members that one task compares, about.
+TASK_MEMBERS = 8_192
+#: Bytes up to which the table of groups is broadcast.
+LIVE_BYTES = 16 << 20
 #: Frequent shingles that the prefix order puts last.
 COMMON = 100_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -210,7 +224,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, rule: Rule) ->
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, set) of the wanted ids: their shingles' hashes."""
-    texts = join_checked(docs, wanted, ["doc"], "left_semi", wanted.count())
+    texts = join_checked(docs, wanted, ["doc"], "left_semi")
     shingler = Shingler()
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -285,22 +299,31 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, al
     return out
 
 
-def placed_in_blocks(members: DataFrame, rule: Rule) -> DataFrame:
-    """Members (key, doc, comp, n, ...) dealt to the groups (key, cls, i, j) in which they are compared.
+#: A group in which members are compared: a shingle, a size class, and two blocks.
+GROUP = ("key", "cls", "i", "j")
+MEMBER = "key long, cls int, i int, j int, own int, doc long, comp long, n long, sig binary"
+
+
+def placed_in_blocks(members: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Members (key, doc, comp, n, ...) dealt to the groups (key, cls, i, j) in which they are compared, and the tasks for them.
 
     Keys are first split by size class (a set may match one of its own or the next class), then dealt into blocks
     of about ``BLOCK``; each pair of blocks is one group. What lies in one component is not placed.
+    The groups' counts are pre-aggregated; a hot key's members are dealt on from wherever they lie if the counts are broadcast, and
+    otherwise by a join that adaptive execution may split, since the exchange by group follows it.
     """
     ratio = float(np.log(100 / rule.percent))
     cls = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")
     sized = members.withColumn("cls", F.explode(F.array(cls, cls + 1)))
-    live = members.select("key", "comp", F.explode(F.array(cls, cls + 1)).alias("cls")).groupBy("key", "cls")
-    live = live.agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    live = live.select("key", "cls", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    placed = sized.join(live, ["key", "cls"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    live = sized.groupBy("key", "cls").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    live = scratch.keep(live.select("key", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    rows = live.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_MEMBERS))
+    placed = join_checked(sized, live.drop("m"), ["key", "cls"], "inner", LIVE_BYTES).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # a member of block i meets every block j: the group (i, j) with i <= j
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    return placed.repartition(tasks, *GROUP), tasks
 
 
 class Group:
@@ -324,19 +347,34 @@ class Group:
         return pa.table({"a": pa.array([p[0] for p in made], pa.int64()), "b": pa.array([p[1] for p in made], pa.int64())})
 
 
-def links_at_home(members: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between members (key, doc, comp, n, sig, set) of one home; only links that full sets confirm are emitted."""
+def links_at_home(members: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members (key, doc, comp, n, sig) of one home; only links that full sets (doc, set) confirm are emitted.
+
+    First signatures are compared, and the members (not the pairs) that found a partner are emitted; only their sets travel.
+    """
+
+    def partnered(t: pa.Table) -> pa.Table:
+        g = Group(t, rule)
+        met = np.zeros(len(g.doc), bool)
+        for x in g.left:
+            y = g.allowed(x)
+            if len(y):
+                met[x] = met[y] = True
+        return t.filter(pa.array(met))
 
     def compare(t: pa.Table) -> pa.Table:
         g = Group(t, rule)
         sets = [np.frombuffer(x, np.int64) for x in t.column("set").to_pylist()]
         return g.pairs(links_within(sets, g.left, g.right, g.allowed, rule) if len(g.left) and len(g.right) else [])
 
-    placed = placed_in_blocks(members, rule).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "set")
-    return placed.groupBy("key", "cls", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+    placed, tasks = placed_in_blocks(members, rule, scratch)
+    alive = scratch.keep(placed.select(names).groupBy(*GROUP).applyInArrow(partnered, MEMBER))
+    with_sets = alive.join(sets, "doc").select(*names, "set").repartition(tasks, *GROUP)
+    return with_sets.groupBy(*GROUP).applyInArrow(compare, "a long, b long").distinct()
 
 
-def pairs_abroad(members: DataFrame, rule: Rule) -> DataFrame:
+def pairs_abroad(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) between members (key, doc, comp, n, sig, homes) of one key that share no home."""
 
     def compare(t: pa.Table) -> pa.Table:
@@ -349,8 +387,9 @@ def pairs_abroad(members: DataFrame, rule: Rule) -> DataFrame:
             found += [(int(x), int(z)) for z in g.allowed(x, y[~met])]
         return g.pairs(found)
 
-    placed = placed_in_blocks(members, rule).select("key", "cls", "i", "j", "own", "doc", "comp", "n", "sig", "first", "last")
-    return placed.groupBy("key", "cls", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    placed, _ = placed_in_blocks(members, rule, scratch)
+    placed = placed.select(*GROUP, "own", "doc", "comp", "n", "sig", "first", "last")
+    return placed.groupBy(*GROUP).applyInArrow(compare, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -388,9 +427,9 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     homes = scratch.keep(one.join(two, "doc", "left").withColumn("last", F.coalesce("last", "first")))
     known = apart.join(reps.select("doc", "n", "sig"), "doc")
     at_home = homes.select("doc", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
-    settled = scratch.keep(links_at_home(at_home.join(known, "doc").join(sets, "doc"), rule))
+    settled = scratch.keep(links_at_home(at_home.join(known, "doc"), sets, rule, scratch))
     abroad = keyed.select("key", "doc").join(known, "doc").join(homes, "doc")
-    second = settled.union(confirm(scratch.keep(pairs_abroad(abroad, rule)), texts, scratch, rule))
+    second = settled.union(confirm(scratch.keep(pairs_abroad(abroad, rule, scratch)), texts, scratch, rule))
     # rows take their class's name; only classes of several rows need a join
     several = reps.where("m > 1").select("h1", "h2", "n", "doc")
     rows = linked.join(several, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("doc", "doc_id").alias("doc"))
@@ -413,14 +452,17 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one of smallest id; rows that repeat its id become one row."""
+    """One document of each component, the one of smallest id, with all its columns; rows that repeat its id become one row.
+
+    Documents without words and rows with a null id all stay, repeated or not; an empty table stays empty.
+    """
     rows, comps, scratch = link_documents(docs, percent)
     named = rows.where("doc_id IS NOT NULL AND n > 0").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     gone = scratch.keep(named.where(F.coalesce("comp", "doc") < F.col("doc_id")).select("doc_id").distinct())
-    left = join_checked(docs, gone, ["doc_id"], "left_anti", gone.count())
+    left = join_checked(docs, gone, ["doc_id"], "left_anti")
     again = scratch.keep(rows.where("n > 0").groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
-    if not (times := again.count()):
+    if again.isEmpty():
         return left
     # an aggregate, not a window: copies of a hot id meet as partial results
-    one = join_checked(left, again, ["doc_id"], "left_semi", times).groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("r")).select("r.*")
-    return join_checked(left, again, ["doc_id"], "left_anti", times).unionByName(one)
+    one = join_checked(left, again, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("r")).select("r.*")
+    return join_checked(left, again, ["doc_id"], "left_anti").unionByName(one)

@@ -100,14 +100,16 @@ def any_failed(limits: RuleLimits) -> Column:
     return base_failed(limits) | (100 * F.col("n_symbols") > limits.symbols_percent * F.col("word_chars")) | (F.col("n_dup_lines") > limits.dup_lines)
 
 
-def host_rates(measured: DataFrame, limits: RuleLimits) -> DataFrame:
+def host_rates(measured: DataFrame, limits: RuleLimits, scratch: Scratch) -> DataFrame:
     """host, n, failed, rate, shrunk: the posterior mean under the fitted beta prior.
 
+    The hosts' counts are written once, so that ``measured`` is computed once for them and their moments.
+
     Moments over hosts weighted by size: mean m and between-host variance v less the binomial
     part; alpha + beta = m (1 - m) / v - 1, held to [1, 10^6], so that without any spread
     every host gets the common rate.
     """
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(any_failed(limits).cast("long")).alias("failed"))
+    hosts = scratch.keep(measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(any_failed(limits).cast("long")).alias("failed")))
     rate = F.col("failed") / F.col("n")
     moments = hosts.agg(
         F.sum("failed").alias("f"), F.sum("n").alias("t"), F.count("*").alias("h"), F.sum(rate * F.col("failed")).alias("rf")
@@ -120,15 +122,19 @@ def host_rates(measured: DataFrame, limits: RuleLimits) -> DataFrame:
     between = F.greatest(F.col("v") - noise, F.lit(1e-12))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / between - 1))
     prior = moments.select(m.alias("m"), weight.alias("w"))
-    # one row of moments beside the hosts
-    return hosts.join(F.broadcast(prior)).select(
-        "host", "n", "failed", rate.alias("rate"), ((F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))).alias("shrunk")
-    )
+    o = prior.select(F.struct("m", "w")).scalar()
+    return hosts.select("host", "n", "failed", rate.alias("rate"), ((F.col("failed") + o["m"] * o["w"]) / (F.col("n") + o["w"])).alias("shrunk"))
+
+
+def host_key(host: Column, name: str) -> list[Column]:
+    """Two columns that tell all hosts apart, a null one too: whether it is null, and its name."""
+    return [host.isNull().alias(f"{name}_none"), F.coalesce(host, F.lit("")).alias(name)]
 
 
-def rejected_hosts(measured: DataFrame, limits: RuleLimits, scratch: Scratch) -> tuple[DataFrame, int]:
-    bad = scratch.keep(host_rates(measured, limits).where(F.col("shrunk") > limits.host_limit).select(F.coalesce(F.col("host"), F.lit("\x00")).alias("_host"), F.lit(True).alias("_bad")))
-    return bad, bad.count()
+def rejected_hosts(measured: DataFrame, limits: RuleLimits, scratch: Scratch, name: str) -> DataFrame:
+    """One row for each rejected host: the columns of ``host_key`` under ``name``."""
+    hosts = host_rates(measured, limits, scratch).where(F.col("shrunk") > limits.host_limit)
+    return scratch.keep(hosts.select(*host_key(F.col("host"), name)))
 
 
 def verdicts(docs: DataFrame, limits: RuleLimits | None = None, host: str = "source") -> DataFrame:
@@ -137,23 +143,25 @@ def verdicts(docs: DataFrame, limits: RuleLimits | None = None, host: str = "sou
     scratch = Scratch(docs.sparkSession, "rules")
     src = docs.select(docs["doc_id"], docs["text"], docs[host].cast("string").alias("host"))
     measured = scratch.keep(measure_documents(src))
-    bad, rows = rejected_hosts(measured, limits, scratch)
-    with_host = measured.withColumn("_host", F.coalesce("host", F.lit("\x00")))
-    out = join_checked(with_host, bad, ["_host"], "left", rows)
-    return out.withColumn("base_failed", base_failed(limits)).withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad", "host")
+    bad = rejected_hosts(measured, limits, scratch, "_host").withColumn("_bad", F.lit(True))
+    out = join_checked(measured.select("*", *host_key(F.col("host"), "_host")), bad, ["_host_none", "_host"], "left")
+    kept = ~F.col("base_failed") & F.col("_bad").isNull()
+    return out.withColumn("base_failed", base_failed(limits)).withColumn("kept", kept).drop("_host_none", "_host", "_bad", "host")
 
 
 def apply_rules(docs: DataFrame, limits: RuleLimits | None = None, host: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns.
+    """The documents that pass, with all their columns, whatever these are called.
 
-    Texts are measured twice (once for the hosts, once for the filter) rather than shuffled.
+    Texts are measured twice (once for the hosts, once for the filter) rather than shuffled. Defined results are the module's:
+    a null text goes, documents without a host stand or fall together, repeated rows stay repeated, an empty table stays empty.
     """
     limits = limits or RuleLimits()
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "rules")
     src = docs.select(docs["doc_id"], docs["text"], docs[host].cast("string").alias("host"))
-    bad, rows = rejected_hosts(measure_documents(src), limits, scratch)
+    name = fresh_name(docs, "_host", "_none")
+    bad = rejected_hosts(measure_documents(src), limits, scratch, name)
     i = docs.columns.index("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,6 +172,5 @@ def apply_rules(docs: DataFrame, limits: RuleLimits | None = None, host: str = "
         return b.filter(pa.array(keep, pa.bool_()))
 
     passed = per_batch(docs, run, docs.schema)
-    name = fresh_name(docs, "_host")
-    with_host = passed.withColumn(name, F.coalesce(passed[host].cast("string"), F.lit("\x00")))
-    return join_checked(with_host, bad.withColumnRenamed("_host", name), [name], "left_anti", rows).drop(name)
+    on = [f"{name}_none", name]
+    return join_checked(passed.select("*", *host_key(passed[host].cast("string"), name)), bad, on, "left_anti").drop(*on)

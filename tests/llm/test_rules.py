@@ -66,3 +66,30 @@ def test_against_sql(spark, duck):
     df = op5_quality_rules(spark, SMALL)
     found = duck.execute(oracle_sql()["op5_quality_rules"])
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in found.description], found.fetchall())
+
+
+def test_null_and_odd_hosts_are_apart(spark):
+    """A null host and hosts named like stand-ins for it: rows in are rows out, and each is judged alone."""
+    good, bad = "one two three four five six seven eight nine ten " + " ".join(map(str, range(30))), "x y z"
+    for poor in ([None, "\x00", ""], ["\x00"], [""], [None], ["_host"]):
+        rows, i = [], 0
+        for host in (None, "\x00", "", "fine", "_host", "null"):
+            for _ in range(60):
+                rows.append((i, bad if host in poor else good, host))
+                i += 1
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = rules.verdicts(docs).collect()
+        assert sorted(r.doc_id for r in out) == list(range(i))
+        expected = {d for d, _, host in rows if host not in poor}
+        assert {r.doc_id for r in out if r.kept} == expected
+        clash = docs.withColumns({"_host": docs.source, "_host_none": docs.doc_id, "_HOST__none": docs.text})
+        left = rules.apply_rules(clash)
+        assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == sorted(expected)
+
+
+def test_rejected_hosts_beyond_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" if i % 2 else " ".join(map(str, range(20))), f"h{i % 4}") for i in range(400)], "doc_id long, text string, source string")
+    few = {r.doc_id: r.kept for r in rules.verdicts(docs).collect()}
+    monkeypatch.setattr("sketchloom.llm.common.BROADCAST_BYTES", 0)
+    out = rules.verdicts(docs)
+    assert {r.doc_id: r.kept for r in out.collect()} == few and set(few.values()) == {True, False}
