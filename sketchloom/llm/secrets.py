@@ -1,11 +1,16 @@
 """Secret scan by assignment-aware lexing.
 
 Base spans come from three fixed patterns.  The method adds more: a lexer reads source and
-configuration syntax (``name = literal``, ``"name": literal``, ``name: literal``, ``name := literal``,
-``"a" + "b"``) into name-literal pairs, propagates constants (a name used as a value stands
-for the literal that was assigned to it, through any chain of names), and scores each literal by
+configuration syntax into name-literal pairs: ``name = literal``, ``"name": literal``, ``name: literal``, ``name := literal``,
+``"a" + "b"``, a literal inside a call (``name = decode("x")``), a call with a name and a literal (``set("name", "literal")``), strings in
+triple quotes or back quotes over several lines, and blocks of YAML (``name: |``), whose indented lines are literals.  It propagates
+constants (a name used as a value stands for the literal that was assigned to it, through any chain of names), and scores each literal by
 the sensitivity of the names it reaches plus its own form.  A value put together from several literals is
-scored as a whole too, and counts with all of them.
+scored as a whole too, and counts with all of them: a name in it stands for what was last assigned to it before that place, or for what
+is assigned first behind it; a value that would need itself leaves itself out.
+
+Names are resolved once each and values are held as summaries (length, counts of characters, both ends), so the work grows
+with the text, whatever the chains.
 
 Defined results: a null text counts as empty; every row gives one row, repeated rows included;
 an empty table gives an empty result; only the key and text columns are read.
@@ -39,12 +44,21 @@ NAME_WEIGHTS = {
 }
 NAME_LEAST = 4
 SCORE_LEAST = 6.0
-EXPANSIONS = 1_000
 PLACEHOLDER = re.compile(r"(?:change|replace|example|placeholder|your[-_ ]|dummy|redacted|\$\{|\{\{|<[^>]*>|x{6,}|\*{3,}|null|none|true|false)", re.I)
 
-LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]<>+]+)"""
+LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"'`,;(){}\[\]<>+]+)"""
 PAIR = re.compile(rf"""(?<![\w$.-])(?:["']([\w$. -]+)["']|([A-Za-z_$][\w$.-]*))[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*({LITERAL}(?:[ \t]*\+[ \t]*{LITERAL})*)""")
 PART = re.compile(LITERAL)
+QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+#: A name that is given a call of a literal, and a call that is given a name and a literal.
+CALLS = (
+    re.compile(rf"""(?<![\w$.-])([A-Za-z_$][\w$.-]*)[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*[A-Za-z_$][\w$.]*\([ \t]*[bru]?({QUOTED})"""),
+    re.compile(rf"""\([ \t]*["']([\w$.-]+)["'][ \t]*,[ \t]*[bru]?({QUOTED})"""),
+)
+LONG_STRING = re.compile(r"""(?<![\w$.-])(?:["']([\w$. -]+)["']|([A-Za-z_$][\w$.-]*))[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*(\"{3}|'{3}|`)((?:(?!\3).)+)\3""", re.S)
+LINE_BODY = re.compile(r"\S(?:[^\n]*\S)?")
+YAML_BLOCK = re.compile(r"""([ \t]*(?:-[ \t]+)?)(?:["']([\w$. -]+)["']|([\w$.-]+))[ \t]*:[ \t]*[|>][+-]?[ \t]*\r?\Z""")
+SPACES = " \t\r"
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.-]*")
 
@@ -56,71 +70,167 @@ def name_score(name: str) -> int:
     return sum(NAME_WEIGHTS.get(p, 0) for p in {*parts, *joined})
 
 
+class Value:
+    """What scoring needs of a string that is put together from others: no characters but its ends."""
+
+    __slots__ = ("pieces", "length", "counts", "spaced", "held", "head", "tail", "opens", "closes")
+    #: One character less than the longest fixed word or run of ``PLACEHOLDER``.
+    EDGE = 10
+
+    def __init__(self, text: str = ""):
+        self.pieces, self.length, self.counts = int(bool(text)), len(text), Counter(text)
+        self.spaced, self.held = " " in text, bool(PLACEHOLDER.search(text))
+        self.head, self.tail, self.opens, self.closes = text[: self.EDGE], text[-self.EDGE :], "<" in text, ">" in text
+
+    def add(self, other: Value) -> None:
+        """Append the other value."""
+        edge = self.tail + other.head
+        self.held = self.held or other.held or bool(PLACEHOLDER.search(edge)) or (self.opens and other.closes)
+        self.head = (self.head + other.head)[: self.EDGE] if self.length < self.EDGE else self.head
+        self.tail = (self.tail + other.tail)[-self.EDGE :]
+        self.pieces, self.length, self.spaced = self.pieces + other.pieces, self.length + other.length, self.spaced or other.spaced
+        self.opens, self.closes = self.opens or other.opens, self.closes or other.closes
+        self.counts.update(other.counts)
+
+    def score(self) -> float:
+        """0 to 6 by length, alphabet and entropy; below 0 for placeholders and prose."""
+        n = self.length
+        if n < 8 or self.spaced or self.held:
+            return -9.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        mixed = any(c.isdigit() for c in self.counts) + any(c.isalpha() for c in self.counts) + any(not c.isalnum() for c in self.counts)
+        return min(entropy, 4.0) + (mixed >= 2) - (mixed < 2) * 2 + (n >= 16)
+
+
 def literal_score(value: str) -> float:
-    """0 to 6 by length, alphabet and entropy; below 0 for placeholders and prose."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.search(value):
-        return -9.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-    return min(entropy, 4.0) + (mixed >= 2) - (mixed < 2) * 2 + (n >= 16)
-
-
-def lex(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
-    """Name-literal pairs: the name and its value's parts (start, end, quoted)."""
-    pairs, at = [], 0
+    return Value(value).score() if len(value) >= 8 else -9.0
+
+
+#: A literal or name of a pair: start, end, quoted.
+Part = tuple[int, int, bool]
+
+
+def parts_of(line: str, a: int, b: int, at: int) -> list[Part]:
+    """The parts of a value, without their quotes; a call is none."""
+    out = []
+    for p in PART.finditer(line, a, b):
+        quoted = p.group()[0] in "\"'" and len(p.group()) > 1
+        if not quoted and line.startswith("(", p.end()):
+            continue  # the name of a call
+        out.append((at + p.start() + quoted, at + p.end() - quoted, quoted))
+    return out
+
+
+def lex(text: str) -> list[tuple[str, list[Part]]]:
+    """Name-literal pairs in the order of the text: the name and its value's parts."""
+    pairs: list[tuple[str, list[Part]]] = []
+    if any(mark in text for mark in ('"""', "'''", "`")):
+        for m in LONG_STRING.finditer(text):
+            # the lines of a long string are its literals
+            pairs.append((m.group(1) or m.group(2), [(m.start(4) + x.start(), m.start(4) + x.end(), True) for x in LINE_BODY.finditer(m.group(4))]))
+    at, block = 0, None  # an open YAML block: its name's indent and its pair
     for line in text.split("\n"):
+        if block is not None:
+            indent = len(line) - len(line.lstrip(" \t"))
+            body = line.strip(SPACES)
+            if not body:
+                pass
+            elif indent > block[0]:
+                start = at + line.index(body)
+                block[1].append((start, start + len(body), True))
+            else:
+                block = None
         if ":" in line or "=" in line:
+            if line.rstrip(SPACES)[-1:] in "|>-+" and (m := YAML_BLOCK.match(line)):
+                block = (len(m.group(1)), [])
+                pairs.append((m.group(2) or m.group(3), block[1]))
             for m in PAIR.finditer(line):
-                parts = []
-                for p in PART.finditer(line, m.start(3), m.end(3)):
-                    quoted = p.group()[0] in "\"'" and len(p.group()) > 1
-                    parts.append((at + p.start() + quoted, at + p.end() - quoted, quoted))
-                pairs.append((m.group(1) or m.group(2), parts))
+                pairs.append((m.group(1) or m.group(2), parts_of(line, m.start(3), m.end(3), at)))
+        if "(" in line:
+            for m in (m for call in CALLS for m in call.finditer(line)):
+                pairs.append((m.group(1), parts_of(line, m.start(2), m.end(2), at)))
         at += len(line) + 1
-    return pairs
+    return sorted((p for p in pairs if p[1]), key=lambda p: p[1][0])
+
 
+class Constants:
+    """The pairs of a text as a graph: a pair's value is its parts, and a part that is a name stands for another pair."""
 
-def put_together(text: str, at: int, name: str, parts: list, assigned: dict[str, list]) -> list[tuple[int, int]]:
-    """The literals of a name's whole value, in order; a name in it stands for what was last assigned to it, or is first assigned.
+    def __init__(self, text: str, pairs: list[tuple[str, list[Part]]]):
+        self.text, self.pairs = text, pairs
+        self.places: dict[str, tuple[list[int], list[int]]] = {}  # by name: where its values begin, and their pairs
+        for i, (name, parts) in enumerate(pairs):
+            starts, own = self.places.setdefault(name, ([], []))
+            starts.append(parts[0][0])
+            own.append(i)
+        self.values: dict[int, Value] = {}
 
-    A name is not followed inside itself, and after ``EXPANSIONS`` of them none is followed twice.
-    """
-    out, todo, inside, seen, left = [], [(at, p) for p in reversed(parts)], {name}, {name}, EXPANSIONS
-    while todo:
-        where, part = todo.pop()
-        if part is None:  # the end of a name's value
-            inside.discard(where)
-            continue
+    def meant(self, part: Part) -> int | None:
+        """The pair that a part stands for: the last of its name before it, or the first."""
         a, b, quoted = part
-        value = text[a:b]
-        if quoted or not IDENTIFIER.fullmatch(value):
-            out += [(a, b)] if a < b else []
-        elif value in assigned and value not in inside and (left > 0 or value not in seen):
-            left -= 1
-            inside.add(value)
-            seen.add(value)
-            places = assigned[value]
-            start, held = places[max(0, bisect.bisect_left(places, where, key=lambda x: x[0]) - 1)]
-            todo.append((value, None))
-            todo.extend((start, p) for p in reversed(held))
-    return out
+        name = self.text[a:b]
+        if quoted or name not in self.places or not IDENTIFIER.fullmatch(name):
+            return None
+        starts, own = self.places[name]
+        return own[max(0, bisect.bisect_left(starts, a) - 1)]
+
+    def literal(self, part: Part) -> bool:
+        """Whether a part is a literal: quoted, or not a name."""
+        a, b, quoted = part
+        return a < b and (quoted or not IDENTIFIER.fullmatch(self.text, a, b))
+
+    def value(self, i: int) -> Value:
+        """The whole value of a pair; each pair is put together once, a pair inside itself counts as nothing."""
+        todo, inside = [(i, 0, Value())], {i}
+        while todo:
+            at, k, made = todo.pop()
+            if at in self.values:
+                continue
+            parts = self.pairs[at][1]
+            while k < len(parts):
+                if (j := self.meant(parts[k])) is None:
+                    if self.literal(parts[k]):
+                        made.add(Value(self.text[parts[k][0] : parts[k][1]]))
+                elif j in self.values:
+                    made.add(self.values[j])
+                elif j not in inside:
+                    todo += [(at, k, made), (j, 0, Value())]
+                    inside.add(j)
+                    break
+                k += 1
+            else:
+                self.values[at] = made
+                inside.discard(at)
+        return self.values[i]
+
+    def literals(self, found: list[int]) -> set[tuple[int, int]]:
+        """The literals that pairs are put together from; each pair is followed once."""
+        out, todo, seen = set(), list(found), set(found)
+        while todo:
+            for part in self.pairs[todo.pop()][1]:
+                if (j := self.meant(part)) is None:
+                    out |= {part[:2]} if self.literal(part) else set()
+                elif j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        return out
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals whose own form and whose best target name together score high enough."""
     pairs = lex(text)
-    if not pairs:
+    weights = [name_score(name) for name, _ in pairs]
+    wanted = sorted((i for i, w in enumerate(weights) if w >= NAME_LEAST), key=lambda i: -weights[i])
+    if not wanted:
         return []
-    owners: dict[str, list] = {}
+    owners: dict[str, list[Part]] = {}
     for name, parts in pairs:
         owners.setdefault(name, []).extend(parts)
     best: dict[tuple[int, int], int] = {}
-    for name, parts in pairs:
-        if (weight := name_score(name)) < NAME_LEAST:
-            continue
-        todo, seen = [(p, True) for p in parts], {name}
-        while todo:  # constants: follow names to the literals assigned to them
+    seen: set[str] = set()
+    for i in wanted:  # from the most sensitive name on, so what a name reaches first is its best
+        todo = [(p, True) for p in pairs[i][1]]
+        while todo:  # constants: follow names to all literals assigned to them
             (a, b, quoted), direct = todo.pop()
             value = text[a:b]
             if not quoted and value in owners and IDENTIFIER.fullmatch(value):
@@ -128,17 +238,11 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                     seen.add(value)
                     todo.extend((p, False) for p in owners[value])
             elif quoted or direct:
-                best[a, b] = max(best.get((a, b), 0), weight)
+                best[a, b] = max(best.get((a, b), 0), weights[i])
     good = {span for span, weight in best.items() if weight + literal_score(text[span[0] : span[1]]) >= SCORE_LEAST}
-    assigned: dict[str, list] = {}
-    for name, parts in pairs:
-        assigned.setdefault(name, []).append((parts[0][0], parts))
-    for name, parts in pairs:
-        if (weight := name_score(name)) >= NAME_LEAST:
-            held = put_together(text, parts[0][0], name, parts, assigned)
-            if len(held) > 1 and weight + literal_score("".join(text[a:b] for a, b in held)) >= SCORE_LEAST:
-                good.update(held)
-    return sorted(good)
+    held = Constants(text, pairs)
+    whole = [i for i in wanted if held.value(i).pieces > 1 and weights[i] + held.value(i).score() >= SCORE_LEAST]
+    return sorted(good | held.literals(whole))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -155,7 +259,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(text: str) -> tuple[list, list]:
     """Base spans, and all spans: a lexed literal counts where no base span already covers it."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in lexed_spans(text) if not any(s <= a and b <= e for s, _, e in base)] if ":" in text or "=" in text else []
+    more, reach, i = [], 0, 0  # the furthest end of the base spans that begin so far
+    for a, b in lexed_spans(text) if any(c in text for c in ":=(`") else []:
+        while i < len(base) and base[i][0] <= a:
+            reach = max(reach, base[i][2])
+            i += 1
+        if b > reach:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 
