@@ -42,3 +42,39 @@ def test_huge_components_use_whole_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {tuple(r) for r in topk.top_k(df, F.col("id") % 5 == 0, 3).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == set(brute(rows, 5, 3))
+
+
+def test_bounds_hold_the_scores():
+    """Whole numbers between which every score lies, with each vector on its own scale."""
+    rng = np.random.default_rng(4)
+    exact = (rng.normal(0, 1, (200, 16)) * 10.0 ** rng.integers(0, 4, (200, 1))).astype(np.int64)
+    low = exact.min(axis=1)
+    shift = np.array([max(0, int(x).bit_length() - 8) for x in exact.max(axis=1) - low])
+    cells = topk.Cells(np.arange(200), low, shift, ((exact - low[:, None]) >> shift[:, None]).astype(np.uint8))
+    q = rng.integers(-3000, 3000, (50, 16))
+    lower, upper = cells.bounds(q.astype(np.float64), 0, 200)
+    score = q @ exact.T
+    assert (lower <= score).all() and (score <= upper).all() and (lower == np.floor(lower)).all()
+
+
+def test_few_vectors_are_read(spark):
+    """Bounds from the cells spare most exact vectors, and what they spare changes nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 32)]) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", "embedding")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    read = topk.read_vectors(df, F.col("id") % 100 == 0).groupBy("query_id").count().collect()
+    assert len(read) == 20 and max(r["count"] for r in read) < 200
+    assert sorted(map(tuple, topk.top_k(df, F.col("id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect())) == brute(rows, 100)
+
+
+def test_many_blocks_of_both_sides(spark, monkeypatch):
+    """Blocks and steps of a few bytes: many query blocks, many vector blocks, lengths that mix, wild vectors among tame ones."""
+    for name, n in (("BLOCK_BYTES", 300), ("QUERY_BYTES", 900), ("LEAST_BLOCKS", 3), ("STEP_BYTES", 256), ("STEP_QUERIES", 4), ("FIRST", 1)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-40, 41, 3 + i % 2) / 7]) for i in range(240)]
+    rows += [(1_000 + i, [1e9 * i, -2.5e12, 3.0]) for i in range(0, 20, 5)] + [(2_000, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("id") % 5 == 0, 4).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute(rows, 5, 4)
