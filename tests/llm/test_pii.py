@@ -57,7 +57,7 @@ def test_decoding_is_the_best_path():
     t = Tagger(hidden=4, seed=9)
     x, _ = pii.Samples(2).batch(2)
     x = x[:, :3]
-    tags, _ = t.decode(x, np.array([3, 3]))
+    tags, _ = t.decode(x)
     e, moves = t.emissions(x), t.p["T"] + MOVE
     for b in range(2):
         paths = {(i, j, k): START[i] + e[0, b, i] + moves[i, j] + e[1, b, j] + moves[j, k] + e[2, b, k] for i in range(TAGS) for j in range(TAGS) for k in range(TAGS)}
@@ -66,7 +66,7 @@ def test_decoding_is_the_best_path():
 
 def test_held_out_accuracy(tagger):
     x, y = pii.Samples(99).batch(400)
-    tags, _ = tagger.decode(x, np.full(400, x.shape[1]))
+    tags, _ = tagger.decode(x)
     spans = lambda t: {s[:3] for s in pii.spans_in(t, np.ones(len(t)))}
     hit = wrong = missed = 0
     for a, b in zip(tags, y, strict=True):
