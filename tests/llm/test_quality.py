@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,6 +44,94 @@ def test_counts_and_weights_against_plain_python(spark):
     assert {r.doc_id for r in op4_quality_classifier(spark, SMALL).where("kept").collect()} == best
 
 
+def plain_shapes(text):
+    """Token shapes written from their description: classes of characters, runs of three or more cut to two, pieces of twelve."""
+    out, words = [], (text or "").split()
+    for n, w in enumerate(words):
+        shape = ""
+        for c in w:
+            k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if ord(c) < 128 else "x"
+            if not shape.endswith(k + k):
+                shape += k
+        hashes = [zlib.crc32(shape[i : i + 12].encode()) for i in range(0, len(shape), 12)]
+        if n and words[n - 1] == w:
+            hashes = [h ^ 0x5BD1E995 for h in hashes]
+        out += hashes
+    return out
+
+
+def plain_buckets(text):
+    s, m = plain_shapes(text), 2**64
+    one = [x + 1 for x in s]
+    two = [x * 31 + y + 2 for x, y in zip(s, s[1:])]
+    three = [(x * 31 + y) * 31 + z + 3 for x, y, z in zip(s, s[1:], s[2:])]
+    return [g % m * 0x9E3779B97F4A7C15 % m >> 50 for g in one + two + three]
+
+
+def test_against_an_independent_model(spark):
+    """Features, counts, weights, noise and the kept set, all computed again without the module."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    texts, marks = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    grams = {i: plain_buckets(t) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if marks.get(i) == 1:
+            target.update(g)
+    size, n, m = 1 << 14, sum(raw.values()), sum(target.values())
+    ratio = lambda g: math.log((target[g] + 1) / (m + size)) - math.log((raw[g] + 1) / (n + size))
+    mean = {i: sum(map(ratio, g)) / len(g) if g else -math.inf for i, g in grams.items()}
+    for config in (quality.QualityConfig(), quality.QualityConfig(temperature=2.0)):
+        t = config.temperature
+        got = {r.doc_id: r for r in quality.classify(docs, labels, config).collect()}
+        assert all(math.isclose(got[i].log_weight, t * w, rel_tol=1e-6, abs_tol=1e-6) if g else got[i].log_weight == -math.inf for (i, w), g in zip(mean.items(), grams.values()))
+        good, bad = (sorted(t * mean[i] for i, q in marks.items() if q == k and i in mean) for k in (1, 0))
+        costs = {c: 10 * sum(x < c for x in good) + sum(x >= c for x in bad) for c in {*good, *bad} if math.isfinite(c)}
+        cuts = sorted(costs)
+        i = next(i for i, c in enumerate(cuts) if costs[c] == min(costs.values()))
+        threshold = (cuts[i] + cuts[i - 1]) / 2 if i else cuts[i]
+        k = sum(t * w >= threshold for w in mean.values())
+
+        def noise(i):
+            a = f"17:{i}"
+            u = (zlib.crc32(a[::-1].encode(), zlib.crc32(a.encode())) * 2654435761 % 2**32 + 0.5) / 2**32
+            return -math.log(-math.log(u))
+
+        drawn = sorted(mean, key=lambda i: -(t * mean[i] + noise(i)))[:k]
+        assert {i for i, r in got.items() if r.kept} == set(drawn)
+
+
+def test_sampling_is_visible_at_low_temperature(spark):
+    """Gumbel top-k draws in proportion to the weights: the kept share rises with the weight, and no weight decides alone."""
+    rows = [(i, " ".join(["good words here and there"] * 3) if i % 2 else "0x9 ### 77 $$ 0x9") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    shares = {}
+    for t in (64.0, 0.25):
+        config = quality.QualityConfig(temperature=t)
+        out = quality.classify(docs, labels, config)
+        kept = [r.doc_id for r in out.where("kept").collect()]
+        shares[t] = sum(i % 2 for i in kept) / len(kept)
+        weights = {r.doc_id % 2: r.log_weight for r in out.where("doc_id < 2").collect()}
+        r = quality.flipped(out, quality.fit(docs, labels, config)).first()
+        assert len(kept) == 3_000 and r.lost == r.won == sum(i % 2 == 0 for i in kept)
+        if t < 1:  # an exponential race between 3,000 of each kind for 3,000 places: shares p and 1 - p with p = (1 - p)^(1 / odds)
+            odds = math.exp(weights[1] - weights[0])
+            p = next(p / 1e4 for p in range(5_000, 10_001) if p / 1e4 >= (1 - p / 1e4) ** (1 / odds))
+            assert abs(shares[t] - p) < 0.03 and 0.6 < shares[t] < 0.95
+    assert shares[64.0] > 0.999
+
+
+def test_repeated_labelled_ids_are_bounded(spark):
+    """Rows that repeat a labelled id count once, by the mean of their weights."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.where("quality = 1").first().doc_id
+    many = docs.union(docs.where(F.col("doc_id") == some).crossJoin(spark.range(300)).drop("id"))
+    got = quality.classify(many, labels).where("kept")
+    assert got.where(F.col("doc_id") == some).count() == 301
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in np.random.default_rng(0).normal(0, 50, 3_000).astype(np.float32)] + [0.0, -0.5, -0.5, float("-inf"), 1e30]
     df = spark.createDataFrame([(v,) for v in values], "perturbed float")
