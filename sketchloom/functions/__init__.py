@@ -1,8 +1,8 @@
-"""Column expressions on bit words: the pieces that sketches are probed and combined with."""
+"""Column expressions on bit words: the pieces that sketches are probed and combined with; and names that clash with none."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = 32
@@ -26,17 +26,18 @@ def popcount(word: Column) -> Column:
     return F.bit_count(word).cast("bigint")
 
 
-def words_union(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it (names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def words_intersection(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
-
-
-def words_difference(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
-
-
-def words_symmetric_difference(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+def unused(df: DataFrame, *names: str) -> None:
+    """Raise if a result column would replace one of ``df``."""
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns of these names exist already: {sorted(clash)}")

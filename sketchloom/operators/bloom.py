@@ -2,7 +2,8 @@
 
 A filter is a table of 32-bit words ``(word_idx, word)``, with a group column in front where filters are built by group;
 absent words are zero.  Building is one partial and one final ``bit_or``; filters of the same spec merge by ``bit_or``.
-Null keys are not inserted, and probing a null gives null.
+Null keys are not inserted, and probing a null gives null.  Inner columns take names that the data does not use; a verdict
+column that exists already is an error.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import WORD, bit_of, has_bit, popcount, word_of
-from ..hashing import hashes, pair
+from ..functions import WORD, bit_of, fresh, has_bit, popcount, unused, word_of
+from ..hashing import hashes, nth, pair
 
-#: A filter up to this size is broadcast whole; a larger one is joined word by word.
-BROADCAST_BITS = 1 << 27
+#: A filter up to this size (4 MB of words) is one value in the probing plan; a larger one is joined word by word.
+BROADCAST_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,12 @@ def positions(key: Column, spec: BloomSpec) -> Column:
     return F.transform(every, lambda h: h % spec.bits)
 
 
+def position(a: Column, b: Column, i: int, spec: BloomSpec) -> Column:
+    """The ith bit position of a key whose hash pair is (a, b)."""
+    at = nth(a, b, i) % spec.partition_bits
+    return at + i * spec.partition_bits if spec.partitioned else at
+
+
 def build(df: DataFrame, key: Column, spec: BloomSpec, group: str | None = None) -> DataFrame:
     by = [group] if group else []
     rows = df.where(key.isNotNull()).select(*by, F.explode(positions(key, spec)).alias("pos"))
@@ -94,35 +101,49 @@ def intersect(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def dense(words: DataFrame, spec: BloomSpec) -> DataFrame:
-    """One row: all words in order, zeros included."""
+    """One row: all words in order, zeros included. Only for filters whose length allows it."""
     spark = words.sparkSession
     every = spark.range(spec.words).select(F.col("id").alias("word_idx")).join(words, "word_idx", "left")
     pairs = F.sort_array(F.collect_list(F.struct("word_idx", F.coalesce("word", F.lit(0)).cast("bigint").alias("word"))))
-    return every.agg(F.transform(pairs, lambda x: x["word"]).alias("_words"))
+    return every.agg(F.transform(pairs, lambda x: x["word"]).alias("words"))
 
 
 def with_contains(df: DataFrame, key: Column, words: DataFrame, spec: BloomSpec, name: str = "found", limit: int = BROADCAST_BITS) -> DataFrame:
-    """``df`` with a verdict column; the filter's length, known beforehand, decides between a broadcast and a join."""
+    """``df`` with a verdict column; the filter's length, known beforehand, decides between one value and a join.
+
+    As one value the filter is a scalar subquery: rows are tested where they lie, each by its own bits, in generated code.
+    """
+    unused(df, name)
     if spec.bits <= limit:
-        at = F.col("_at")
-        probed = df.withColumn("_at", positions(key, spec)).join(F.broadcast(dense(words, spec)))
-        verdict = F.when(key.isNotNull(), F.forall(at, lambda p: has_bit(F.col("_words"), p)))
-        return probed.withColumn(name, verdict).drop("_at", "_words")
-    keyed = df.withColumn("_key", key)
-    distinct = keyed.where("_key IS NOT NULL").select("_key").distinct()
-    asked = distinct.select("_key", F.explode(positions(F.col("_key"), spec)).alias("pos")).withColumn("word_idx", word_of(F.col("pos")))
-    hit = F.coalesce(F.col("word"), F.lit(0)).bitwiseAND(bit_of(F.col("pos"))) != 0
-    answers = asked.join(words, "word_idx", "left").groupBy("_key").agg(F.bool_and(hit).alias(name))
-    return keyed.join(answers, "_key", "left").drop("_key")
+        one, two = fresh(df, "_a", "_b")
+        held, (a, b) = dense(words, spec).scalar(), pair(key, spec.seed)
+        # null for a null key, as the pair is
+        bits = [has_bit(held, position(F.col(one), F.col(two), i, spec)) for i in range(spec.hashes)]
+        verdict = bits[0]
+        for x in bits[1:]:
+            verdict = verdict & x
+        hashed = df.withColumns({one: a, two: b})
+        return hashed.select(*[hashed[c] for c in df.columns], F.when(F.col(one).isNotNull(), verdict).alias(name))
+    own, asked_key, at, idx = fresh(df, "_key", "_asked", "_pos", "_word")
+    keyed = df.withColumn(own, key)
+    distinct = keyed.where(F.col(own).isNotNull()).select(F.col(own).alias(asked_key)).distinct()
+    asked = distinct.select(asked_key, F.explode(positions(F.col(asked_key), spec)).alias(at)).withColumn(idx, word_of(F.col(at)))
+    hit = F.coalesce(F.col("word"), F.lit(0)).bitwiseAND(bit_of(F.col(at))) != 0
+    answers = asked.join(words, F.col(idx) == words["word_idx"], "left").groupBy(asked_key).agg(F.bool_and(hit).alias(name))
+    return keyed.join(answers, F.col(own) == F.col(asked_key), "left").drop(own, asked_key)
 
 
 def contained(df: DataFrame, key: Column, words: DataFrame, spec: BloomSpec) -> DataFrame:
     """Approximate semi-join: the rows whose key the filter may hold."""
-    return with_contains(df, key, words, spec, "_found").where("_found").drop("_found")
+    (name,) = fresh(df, "_found")
+    return with_contains(df, key, words, spec, name).where(F.col(name)).drop(name)
 
 
 def reduced_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, spec: BloomSpec) -> DataFrame:
-    """Exact inner join whose big side is thinned by a filter over the small side's keys before it is shuffled."""
+    """Exact inner join whose big side is thinned by a filter over the small side's keys before it is shuffled.
+
+    It pays where the big side would be shuffled and most of its rows find no partner; a small side that is broadcast needs no filter.
+    """
     words = build(small, F.col(small_key).cast("string"), spec)
     thin = contained(big, F.col(big_key).cast("string"), words, spec)
     return thin.join(small, thin[big_key] == small[small_key])
@@ -145,3 +166,8 @@ def stats(words: DataFrame, spec: BloomSpec, group: str | None = None) -> DataFr
 
 def clear(words: DataFrame) -> DataFrame:
     return words.limit(0)
+
+
+def is_empty(words: DataFrame) -> bool:
+    """Whether nothing was inserted."""
+    return words.where("word <> 0").isEmpty()

@@ -2,6 +2,7 @@
 
 A sketch is a table ``(row, col, cnt)``; absent cells are zero.  Weights may be negative, so removing is inserting the
 negated weight, and sketches merge by addition.  Null keys and null weights are not inserted; a null key's estimate is null.
+Inner columns take names that the data does not use; an estimate column that exists already is an error.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..hashing import hashes, pair
+from ..functions import fresh, unused
+from ..hashing import hashes, nth, pair
+
+#: A sketch up to this many cells (8 MB) is one value in the plan that asks it; a larger one is joined cell by cell.
+BROADCAST_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,9 +56,12 @@ def build(df: DataFrame, key: Column, spec: CmsSpec, weight: Column | None = Non
     """Weights are summed by key before keys are spread over rows, so a hot key costs one row a task."""
     by = [group] if group else []
     w = F.lit(1) if weight is None else weight
-    keyed = df.where(key.isNotNull() & w.isNotNull()).groupBy(*by, key.alias("_key")).agg(F.sum(w.cast("bigint")).alias("_w"))
-    rows = keyed.select(*by, "_w", F.explode(cells(F.col("_key"), spec)).alias("c")).select(*by, "_w", "c.row", "c.col")
-    return rows.groupBy(*by, "row", "col").agg(F.sum("_w").alias("cnt"))
+    rows = df.where(key.isNotNull() & w.isNotNull()).select(*[F.col(c).alias("_g") for c in by], key.alias("_key"), w.cast("bigint").alias("_w"))
+    inner = [c for c in rows.columns if c == "_g"]
+    keyed = rows.groupBy(*inner, "_key").agg(F.sum("_w").alias("_w"))
+    spread = keyed.select(*inner, "_w", F.explode(cells(F.col("_key"), spec)).alias("c")).select(*inner, "_w", "c.row", "c.col")
+    found = spread.groupBy(*inner, "row", "col").agg(F.sum("_w").alias("cnt"))
+    return found.withColumnRenamed("_g", group) if group else found
 
 
 def merge(*sketches: DataFrame) -> DataFrame:
@@ -95,24 +103,60 @@ def total_weight(sketch: DataFrame) -> DataFrame:
     return sketch.where("row = 0").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
 
 
-def estimate(keys: DataFrame, key: Column, sketch: DataFrame, spec: CmsSpec, strategies: dict[str, Strategy] | None = None) -> DataFrame:
+def packed(sketch: DataFrame, spec: CmsSpec) -> DataFrame:
+    """One row: all cells in order, zeros included. Only for sketches whose size allows it."""
+    every = sketch.sparkSession.range(spec.rows * spec.cols).select(F.col("id").alias("at"))
+    full = every.join(sketch.select((F.col("row") * spec.cols + F.col("col")).alias("at"), "cnt"), "at", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("at", F.coalesce("cnt", F.lit(0)).alias("cnt"))))
+    return full.agg(F.transform(pairs, lambda x: x["cnt"]).alias("grid"))
+
+
+def estimate(
+    keys: DataFrame, key: Column, sketch: DataFrame, spec: CmsSpec, strategies: dict[str, Strategy] | None = None, limit: int = BROADCAST_CELLS
+) -> DataFrame:
     """``keys`` with one estimate column for each strategy.
 
-    A sketch has ``rows * cols`` cells, so it comes as one packed row of that fixed size.
+    A sketch has ``rows * cols`` cells, known beforehand: up to ``limit`` they are a scalar subquery, and keys are looked up where they
+    lie; beyond, distinct keys meet their cells in a join.
     """
-    n = spec.rows * spec.cols
-    every = sketch.sparkSession.range(n).select(F.col("id").alias("_at"))
-    full = every.join(sketch.select((F.col("row") * spec.cols + F.col("col")).alias("_at"), "cnt"), "_at", "left")
-    packed = full.agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("cnt", F.lit(0)).alias("cnt")))).alias("_grid"))
-    packed = packed.join(F.broadcast(total_weight(sketch)))
-    probed = keys.withColumn("_cells", cells(key, spec)).join(F.broadcast(packed))
-    at = lambda c: F.element_at("_grid", (c["row"] * spec.cols + c["col"] + 1).cast("int"))["cnt"]
-    probed = probed.select(*keys.columns, "total", key.isNotNull().alias("_known"), F.transform("_cells", at).alias("_values"))
-    out = {name: F.when(F.col("_known"), f(F.col("_values"), F.col("total"), spec)) for name, f in (strategies or STRATEGIES).items()}
-    return probed.withColumns(out).drop("total", "_known", "_values")
+    wanted = strategies or STRATEGIES
+    unused(keys, *wanted)
+    total = total_weight(sketch).scalar()
+    if spec.rows * spec.cols <= limit:
+        one, two, values = fresh(keys, "_a", "_b", "_values")
+        grid, (a, b) = packed(sketch, spec).scalar(), pair(key, spec.seed)
+        cell = lambda i: F.element_at(grid, (nth(F.col(one), F.col(two), i) % spec.cols + i * spec.cols + 1).cast("int"))
+        hashed = keys.withColumns({one: a, two: b})
+        known = F.col(one).isNotNull()
+        found = hashed.select(*[hashed[c] for c in keys.columns], F.when(known, F.array(*[cell(i) for i in range(spec.rows)])).alias(values))
+        gone = [values]
+    else:
+        own, asked, at, values = fresh(keys, "_key", "_asked", "_cell", "_values")
+        keyed = keys.withColumn(own, key)
+        distinct = keyed.where(F.col(own).isNotNull()).select(F.col(own).alias(asked)).distinct()
+        spread = distinct.select(asked, F.explode(cells(F.col(asked), spec)).alias(at))
+        met = spread.join(sketch, (spread[at]["row"] == sketch["row"]) & (spread[at]["col"] == sketch["col"]), "left")
+        listed = F.sort_array(F.collect_list(F.struct(F.col(at)["row"].alias("row"), F.coalesce("cnt", F.lit(0)).alias("cnt"))))
+        answers = met.groupBy(asked).agg(F.transform(listed, lambda x: x["cnt"]).alias(values))
+        found = keyed.join(answers, F.col(own) == F.col(asked), "left")
+        gone = [own, asked, values]
+    # a column first: strategies may use it inside lambdas, where a subquery may not stand
+    (every,) = fresh(found, "_total")
+    found = found.withColumn(every, total)
+    out = {name: F.when(F.col(values).isNotNull(), f(F.col(values), F.col(every), spec)) for name, f in wanted.items()}
+    return found.withColumns(out).drop(*gone, every)
 
 
 def heavy_hitters(df: DataFrame, key: Column, spec: CmsSpec, n: int, name: str = "item") -> DataFrame:
     """The n keys of the highest min estimates, ties by key."""
     keys = df.where(key.isNotNull()).select(key.alias(name)).distinct()
     return estimate(keys, F.col(name), build(df, key, spec), spec, {"estimate": count_min}).orderBy(F.desc("estimate"), name).limit(n)
+
+
+def clear(sketch: DataFrame) -> DataFrame:
+    return sketch.limit(0)
+
+
+def is_empty(sketch: DataFrame) -> bool:
+    """Whether all cells are zero: nothing was inserted, or all of it was removed."""
+    return sketch.where("cnt <> 0").isEmpty()

@@ -3,7 +3,8 @@
 A cuckoo filter's buckets number a power of two, so an item's two buckets follow from its fingerprint and the smaller of them;
 membership is membership of ``(fingerprint, min_bucket)`` in the stored set, whatever the order of insertion and the
 displacements.  A quotient filter is the set of ``(quotient, remainder)``.  So inserting is ``distinct``, asking is a semi-join, removing
-is an anti-join, and filters merge by union.  Null keys are not inserted; asking for a null gives null.
+is an anti-join, and filters merge by union.  Null keys are not inserted; asking for a null gives null.  Inner columns take names
+that the data does not use; a verdict column that exists already is an error.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions import fresh, unused
 from ..hashing import BITS, half
 
 
@@ -28,6 +30,8 @@ class CuckooSpec:
         params.check_fingerprint_bits(self.fingerprint_bits, BITS)
         if self.buckets < 1 or self.buckets & (self.buckets - 1):
             raise ValueError("the number of buckets must be a power of two")
+        if self.entries < 1:
+            raise ValueError("a bucket needs an entry at least")
 
     @staticmethod
     def for_items(items: int, fingerprint_bits: int = 8, entries: int = 4, seed: str = "") -> CuckooSpec:
@@ -101,20 +105,41 @@ def remove(stored: DataFrame, df: DataFrame, key: Column, spec: Spec) -> DataFra
     return stored.join(build(df, key, spec), stored.columns, "left_anti")
 
 
+def _keyed(df: DataFrame, key: Column, stored: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``df`` with its keys' pairs, and the stored pairs, under fresh names."""
+    made = columns_of(key, spec)
+    names = fresh(df, *[f"_{n}" for n in made])
+    return df.withColumns(dict(zip(names, made.values(), strict=True))), stored.select(*[F.col(c).alias(n) for c, n in zip(made, names, strict=True)]), names
+
+
 def with_contains(df: DataFrame, key: Column, stored: DataFrame, spec: Spec, name: str = "found") -> DataFrame:
     """``df`` with a verdict; Spark picks the join by the set's size."""
-    marked = stored.withColumn("_hit", F.lit(True))
-    keyed = df.withColumns(columns_of(key, spec))
-    verdict = F.when(key.isNotNull(), F.coalesce("_hit", F.lit(False)))
-    return keyed.join(marked, stored.columns, "left").withColumn(name, verdict).drop("_hit", *stored.columns)
+    unused(df, name)
+    keyed, held, pair = _keyed(df, key, stored, spec)
+    (hit,) = fresh(keyed, "_hit")
+    joined = keyed.join(held.withColumn(hit, F.lit(True)), pair, "left")
+    verdict = F.when(F.col(pair[0]).isNotNull(), F.coalesce(hit, F.lit(False)))
+    return joined.select(*[joined[c] for c in df.columns], verdict.alias(name))
 
 
 def contained(df: DataFrame, key: Column, stored: DataFrame, spec: Spec) -> DataFrame:
-    return df.withColumns(columns_of(key, spec)).join(stored, stored.columns, "left_semi").drop(*stored.columns)
+    keyed, held, pair = _keyed(df, key, stored, spec)
+    return keyed.join(held, pair, "left_semi").drop(*pair)
+
+
+def clear(stored: DataFrame) -> DataFrame:
+    return stored.limit(0)
+
+
+def is_empty(stored: DataFrame) -> bool:
+    return stored.isEmpty()
 
 
 def cuckoo_stats(stored: DataFrame, spec: CuckooSpec) -> DataFrame:
-    """stored, slots, overflow (pairs beyond the capacity), estimated_fpp."""
+    """stored, buckets, slots, overflow (pairs beyond the capacity), is_empty, is_nearly_full (some pair found no slot), estimated_fpp.
+
+    As a set has no placement, overflow is the least that any placement leaves over.
+    """
     f = 2.0**spec.fingerprint_bits
     n = F.col("stored")
     return stored.agg(F.count("*").alias("stored")).select(
@@ -122,6 +147,8 @@ def cuckoo_stats(stored: DataFrame, spec: CuckooSpec) -> DataFrame:
         F.lit(spec.buckets).cast("bigint").alias("buckets"),
         F.lit(spec.capacity).cast("bigint").alias("slots"),
         F.greatest(n - spec.capacity, F.lit(0)).cast("bigint").alias("overflow"),
+        (n == 0).alias("is_empty"),
+        (n > spec.capacity).alias("is_nearly_full"),
         (1 - F.pow(F.lit((f - 2) / (f - 1)), 2.0 * spec.entries * F.least(n, F.lit(spec.capacity)) / spec.capacity)).alias("estimated_fpp"),
     )
 
@@ -131,19 +158,27 @@ def quotient_stats(stored: DataFrame, spec: QuotientSpec) -> DataFrame:
     return stored.agg(F.count("*").alias("stored")).select(
         "stored",
         F.lit(spec.capacity).cast("bigint").alias("slots"),
+        (n == 0).alias("is_empty"),
         (n > spec.capacity).alias("over_full"),
         (1 - F.exp(-(n / F.lit(float(spec.capacity))) / F.lit(2.0**spec.remainder_bits))).alias("estimated_fpp"),
     )
 
 
-def quotient_layout(stored: DataFrame, spec: QuotientSpec, blocks: int = 1024) -> DataFrame:
+#: Slots of a block of the layout: one window's rows, about.
+BLOCK_SLOTS = 1 << 16
+#: Most blocks, whose counts one task carries over.
+MOST_BLOCKS = 1 << 20
+
+
+def quotient_layout(stored: DataFrame, spec: QuotientSpec, blocks: int | None = None) -> DataFrame:
     """Physical slots with their three marks: slot, quotient, remainder, is_occupied, is_continuation, is_shifted.
 
     In sorted order the kth pair sits at k + max(q_j - j) over j <= k; two turns of the table settle what
-    wraps past its end.  Ranks and running maxima are taken inside blocks of quotients and carried over a table of at
-    most ``2 * blocks`` rows, so no task sorts the whole filter.
+    wraps past its end.  Ranks and running maxima are taken inside blocks of quotients (of ``BLOCK_SLOTS`` slots, unless told
+    otherwise) and carried over a table of at most ``2 * blocks`` rows, so no task sorts the whole filter.
     """
     size = spec.capacity
+    blocks = blocks or min(MOST_BLOCKS, max(16, size // BLOCK_SLOTS))
     turns = stored.select("quotient", "remainder", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
     width = max(1, size // blocks)
     turns = turns.withColumn("q", F.col("quotient") + F.col("turn") * size).withColumn("block", F.floor(F.col("q") / width))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions import fresh
 from ..hashing import BITS, half
 
 
@@ -40,10 +41,11 @@ def estimate(registers: DataFrame, p: int, group: list[str] | None = None) -> Da
     """
     names, m, top = group or [], 1 << p, BITS + 1 - p
     term = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.lit(top) - F.col("rho")).cast("int"))
-    sums = registers.groupBy(*names).agg(F.count("*").alias("_set"), F.coalesce(F.sum(term), F.lit(0)).alias("_sum"))
-    zeros = F.lit(m) - F.col("_set")
+    held, total = fresh(registers, "_set", "_sum")
+    sums = registers.groupBy(*names).agg(F.count("*").alias(held), F.coalesce(F.sum(term), F.lit(0)).alias(total))
+    zeros = F.lit(m) - F.col(held)
     scale = params.hll_alpha(p) * m * m * 2.0**top
-    raw = F.lit(scale) / (F.col("_sum") + zeros * F.lit(1 << top)).cast("double")
+    raw = F.lit(scale) / (F.col(total) + zeros * F.lit(1 << top)).cast("double")
     linear = F.lit(float(m)) * F.log(F.lit(float(m)) / zeros.cast("double"))
     value = F.when((raw <= 2.5 * m) & (zeros > 0), linear).otherwise(raw)
     return sums.select(*names, F.round(value, 6).alias("estimate"))
@@ -55,14 +57,21 @@ def count_distinct(df: DataFrame, key: Column, error: float = 0.02, group: list[
 
 
 def rollup(registers: DataFrame, p: int, levels: list[str]) -> DataFrame:
-    """Estimates at every level of a rollup, from one build: registers are merged, rows are not read again."""
-    kept = registers.groupBy(*levels, "register").agg(F.max("rho").alias("rho")).withColumn("_level", F.lit(0))
-    out = kept
-    for i in range(1, len(levels) + 1):
-        keep, gone = levels[: len(levels) - i], levels[len(levels) - i :]
-        part = registers.groupBy(*keep, "register").agg(F.max("rho").alias("rho")).withColumn("_level", F.lit(i))
-        out = out.unionByName(part.withColumns({c: F.lit(None).cast(registers.schema[c].dataType) for c in gone}))
-    return estimate(out, p, [*levels, "_level"]).withColumnRenamed("_level", "level")
+    """Estimates at every level of a rollup, from one build and one aggregate over all levels; ``level`` counts the columns rolled up."""
+    sets = [[*levels[: len(levels) - i], "register"] for i in range(len(levels) + 1)]
+    merged = registers.groupingSets(sets, *levels, "register").agg(F.max("rho").alias("rho"), F.grouping_id().alias("_gid"))
+    # the lowest bit is the register's, which is never rolled up; a level sets a bit for each column above it
+    level = F.bit_count(F.shiftright("_gid", 1)).alias("level")
+    return estimate(merged.select(*levels, level, "register", "rho"), p, [*levels, "level"])
+
+
+def clear(registers: DataFrame) -> DataFrame:
+    return registers.limit(0)
+
+
+def is_empty(registers: DataFrame) -> bool:
+    """Whether nothing was counted."""
+    return registers.isEmpty()
 
 
 def fast_count(df: DataFrame, key: Column, group: list[str] | None = None) -> DataFrame:

@@ -1,23 +1,31 @@
 """Shingles, exact Jaccard similarity, MinHash signatures, SimHash fingerprints and their sorted-neighbourhood candidates.
 
-Texts are split at single spaces, without normalisation.  A text with fewer tokens than the window has no shingles: its
-signature and fingerprint are null, and its similarity to another such text is null.
+Texts are split at single spaces, without normalisation.  A text with fewer tokens than the window has no shingles: it has no
+signature and no fingerprint, and its similarity to another such text is null.
+
+Signatures and fingerprints are made where the texts lie, in Arrow batches, from one of two hash providers: ``sql`` (48-bit
+halves of an MD5 of the joined window, which any SQL engine can follow) or ``sip24`` (64-bit SipHash of the window's tokens, wrapping).
+64-bit values come as signed integers of the same bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..hashing import BITS, half, nth, pair, sip_hashes, sip_pairs, siphash24, text_bytes, tokens_bytes
+from ..hashing import BITS, cubic, sip_hashes, sip_pairs, siphash24_many, text_bytes, tokens_bytes
+from ..shipping import ship
 
-#: Most minima of one aggregate that stay within generated code.
-MOST_HASHES = 64
+#: Hashes held at once while minima are taken.
+HELD = 1 << 20
+PROVIDERS = {"sql": BITS, "sip24": 64}
 
 
 def tokens(text: Column) -> Column:
@@ -25,14 +33,18 @@ def tokens(text: Column) -> Column:
 
 
 def shingles(tokens: Column, width: int) -> Column:
-    """array<string>: windows of ``width`` tokens joined by a space, duplicates kept.
+    """array<string>: windows of ``width`` tokens joined by a space, duplicates kept; ``width`` passes over the array.
 
     The tokens are bound once: inside a lambda their expression would be evaluated again for every window.
     """
+    none = F.expr("cast(array() as array<string>)")
 
     def windows(t: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(width)), " "))
-        return F.when(F.size(t) >= width, made).otherwise(F.expr("cast(array() as array<string>)"))
+        n = F.size(t) - (width - 1)
+        made = F.slice(t, 1, F.greatest(n, F.lit(0)))
+        for k in range(1, width):
+            made = F.zip_with(made, F.slice(t, k + 1, F.greatest(n, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.when(n > 0, made).otherwise(none)
 
     return F.element_at(F.transform(F.array(tokens), windows), 1)
 
@@ -42,20 +54,91 @@ def exploded(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(doc), F.explode(shingles(tokens(F.col(text)), width)).alias("shingle"))
 
 
+def shingle_counts(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
+    """(doc, n, n_distinct) of the texts that have shingles; nothing is shuffled."""
+    held = docs.select(F.col(doc).alias(doc), shingles(tokens(F.col(text)), width).alias("_s")).where(F.size("_s") > 0)
+    return held.select(doc, F.size("_s").cast("bigint").alias("n"), F.size(F.array_distinct("_s")).cast("bigint").alias("n_distinct"))
+
+
 def jaccard(one: Column, two: Column) -> Column:
     """|intersection| / |union| of two arrays' distinct elements; null for two empty ones."""
     union = F.size(F.array_union(one, two))
     return F.when(union > 0, F.size(F.array_intersect(one, two)) / union)
 
 
-def min_hashes(docs: DataFrame, doc: str, text: str, width: int, k: int, seed: str = "") -> DataFrame:
-    """(doc, signature array<bigint>): the k minima over distinct shingles, in one aggregate."""
-    if not 0 < k <= MOST_HASHES:
-        raise ValueError(f"between 1 and {MOST_HASHES} hashes, not {k}")
-    a, b = pair(F.col("shingle"), seed)
-    rows = exploded(docs, doc, text, width).select(doc, a.alias("_a"), b.alias("_b"))
-    minima = rows.groupBy(doc).agg(*[F.min(nth(F.col("_a"), F.col("_b"), i)).alias(f"_{i}") for i in range(k)])
-    return minima.select(doc, F.array(*[F.col(f"_{i}") for i in range(k)]).alias("signature"))
+def windows_of(text: str | None, width: int) -> list[list[str]]:
+    words = [] if text is None else text.split(" ")
+    return [words[i : i + width] for i in range(len(words) - width + 1)]
+
+
+def window_pairs(text: str | None, width: int, seed: str, provider: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hash pairs of a text's windows, duplicates kept."""
+    if provider == "sip24":
+        return sip_pairs([tokens_bytes(w) for w in windows_of(text, width)])
+    digests = b"".join(hashlib.md5((seed + " ".join(w)).encode()).digest()[:12] for w in windows_of(text, width))
+    raw = np.frombuffer(digests, np.uint8).reshape(-1, 2, 6)
+    wide = np.zeros((len(raw), 2, 8), np.uint8)
+    wide[:, :, 2:] = raw
+    both = wide.view(">u8")[:, :, 0].astype(np.uint64)
+    return both[:, 0], both[:, 1]
+
+
+def minima(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The least of each of the first k hashes; a bounded number of hashes is held at a time."""
+    step, out = max(1, HELD // k), None
+    for s in range(0, len(a), step):
+        least = sip_hashes(a[s : s + step], b[s : s + step], k).min(axis=1)
+        out = least if out is None else np.minimum(out, least)
+    return out
+
+
+def fingerprint(h: np.ndarray, bits: int) -> int:
+    """A place counts +1 for every hash with a 0 there and -1 for a 1; the result has a 1 where the count is not negative, the
+    lowest place of the hash first."""
+    ones = np.zeros(bits, np.int64)
+    for s in range(0, len(h), HELD // 64):
+        part = h[s : s + HELD // 64]
+        ones += np.array([int(((part >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(bits)])
+    out = 0
+    for c in len(h) - 2 * ones:
+        out = out << 1 | int(c >= 0)
+    return out
+
+
+def _per_text(docs: DataFrame, doc: str, text: str, name: str, kind: T.DataType, fn: Callable[[str | None], object]) -> DataFrame:
+    """(doc, name) of the texts for which ``fn`` gives a value; nothing is shuffled."""
+    ship(docs.sparkSession)
+    schema = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField(name, kind)])
+    arrow = pa.list_(pa.int64()) if isinstance(kind, T.ArrayType) else pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([fn(t) for t in b.column(1).to_pylist()], arrow)
+            out = pa.RecordBatch.from_arrays([b.column(0), made], names=[doc, name])
+            yield out.filter(made.is_valid())
+
+    return docs.select(F.col(doc), F.col(text).alias(f"{doc}_text")).mapInArrow(run, schema)
+
+
+def check_provider(provider: str) -> int:
+    if provider not in PROVIDERS:
+        raise ValueError(f"no such hash provider: {provider}")
+    return PROVIDERS[provider]
+
+
+def min_hashes(docs: DataFrame, doc: str, text: str, width: int, k: int, seed: str = "", provider: str = "sql") -> DataFrame:
+    """(doc, signature array<bigint>): the k minima over the shingles, for any k."""
+    check_provider(provider)
+    if k < 1:
+        raise ValueError(f"one hash at least, not {k}")
+    if provider == "sql" and k * (1 << BITS) + cubic(k) >= 1 << 63:
+        raise ValueError(f"sums of {k} hashes of {BITS} bits leave 64 bits; the provider sip24 has no such limit")
+
+    def made(t: str | None) -> list[int] | None:
+        a, b = window_pairs(t, width, seed, provider)
+        return minima(a, b, k).view(np.int64).tolist() if len(a) else None
+
+    return _per_text(docs, doc, text, "signature", T.ArrayType(T.LongType()), made)
 
 
 def signature_similarity(one: Column, two: Column, k: int) -> Column:
@@ -64,38 +147,43 @@ def signature_similarity(one: Column, two: Column, k: int) -> Column:
     return F.when((F.size(one) == k) & (F.size(two) == k), same / k)
 
 
-def sim_hashes(docs: DataFrame, doc: str, text: str, width: int, seed: str = "") -> DataFrame:
-    """(doc, sim_hash): 48 bits.  A place counts +1 for every shingle whose hash has a 0 there and -1 for a 1; the result has a
-    1 where the count is not negative, the lowest place of the hash first."""
-    rows = exploded(docs, doc, text, width).select(doc, half(F.col("shingle"), 0, seed).alias("_h"))
-    ones = [F.sum(F.shiftright("_h", i).bitwiseAND(F.lit(1))).alias(f"_{i}") for i in range(BITS)]
-    counted = rows.groupBy(doc).agg(F.count("*").alias("_n"), *ones)
-    bits = [F.when(F.col("_n") - 2 * F.col(f"_{i}") >= 0, F.lit(1 << (BITS - 1 - i))).otherwise(F.lit(0)) for i in range(BITS)]
-    total = bits[0].cast("bigint")
-    for b in bits[1:]:
-        total = total + b
-    return counted.select(doc, total.alias("sim_hash"))
+def sim_hashes(docs: DataFrame, doc: str, text: str, width: int, seed: str = "", provider: str = "sql") -> DataFrame:
+    """(doc, sim_hash): 48 bits, or 64 from SipHash."""
+    bits = check_provider(provider)
+
+    def made(t: str | None) -> int | None:
+        if provider == "sip24":
+            h = siphash24_many([tokens_bytes(w) for w in windows_of(t, width)], 0, 0)
+        else:
+            h = window_pairs(t, width, seed, provider)[0]
+        if not len(h):
+            return None
+        value = fingerprint(h, bits)
+        return value - (1 << 64) if value >> 63 else value
+
+    return _per_text(docs, doc, text, "sim_hash", T.LongType(), made)
 
 
 def hamming(one: Column, two: Column) -> Column:
     return F.bit_count(one.bitwiseXOR(two))
 
 
-def similar_candidates(hashed: DataFrame, doc: str, window: int, block_bits: int = 10) -> DataFrame:
-    """(doc_a, doc_b): pairs within ``window`` places of each other in the order of some rotation of the fingerprints.
+def similar_candidates(hashed: DataFrame, doc: str, window: int, block_bits: int = 10, bits: int = BITS) -> DataFrame:
+    """(doc_a, doc_b): pairs within ``window`` places of each other in the order of some rotation of the fingerprints of so many ``bits``.
 
     Pairs inside a sliding window are pairs at a rank distance below it.  Ranks are taken inside blocks of leading bits, carried over the
-    blocks' counts (a table of at most ``48 * 2^block_bits`` rows), so a rotation is never sorted by one task.
+    blocks' counts (a table of at most ``bits * 2^block_bits`` rows), so a rotation is never sorted by one task.
     """
     if window < 2:
         raise ValueError("the window must hold two entries at least")
-    full = (1 << BITS) - 1
-    turn = F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("rot")
-    rotated = hashed.where(F.col("sim_hash").isNotNull()).select(F.col(doc).alias("doc"), "sim_hash", turn)
-    low = F.call_function("shiftrightunsigned", F.col("sim_hash"), F.lit(BITS) - F.col("rot"))
-    high = F.call_function("shiftleft", F.col("sim_hash"), F.col("rot")).bitwiseAND(F.lit(full))
-    rotated = rotated.select("doc", "rot", high.bitwiseOR(low).alias("h")).withColumn("block", F.shiftright("h", BITS - block_bits))
-    ranked = rotated.withColumn("_r", F.row_number().over(Window.partitionBy("rot", "block").orderBy("h", "doc")))
+    rows = hashed.where(F.col("sim_hash").isNotNull()).select(F.col(doc).alias("doc"), "sim_hash")
+    rotated = rows.withColumn("rot", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    left = F.call_function("shiftleft", F.col("sim_hash"), F.col("rot"))
+    right = F.call_function("shiftrightunsigned", F.col("sim_hash"), F.lit(bits) - F.col("rot"))  # at 64 bits a shift by 64 is none
+    turned = left.bitwiseOR(right) if bits == 64 else left.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(right)
+    rotated = rotated.select("doc", "rot", turned.alias("h")).withColumn("block", F.shiftrightunsigned("h", bits - block_bits))
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col("h")
+    ranked = rotated.withColumn("_r", F.row_number().over(Window.partitionBy("rot", "block").orderBy(unsigned, "doc")))
     before = Window.partitionBy("rot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rotated.groupBy("rot", "block").count().select("rot", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     ranked = ranked.join(starts, ["rot", "block"]).select("rot", "doc", (F.col("_first") + F.col("_r")).alias("rank"))
@@ -104,25 +192,16 @@ def similar_candidates(hashed: DataFrame, doc: str, window: int, block_bits: int
     return ranked.join(ahead, ["rot", "rank"]).select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
 
 
-# The 64-bit provider, for values fixed by SipHash.
+# SipHash values of windows outside DataFrames.
 
 
 def sip_signature(windows: list[list[str]], k: int) -> list[int]:
-    a, b = sip_pairs([tokens_bytes(w) for w in windows])
-    return [int(x) for x in sip_hashes(a, b, k).min(axis=1)]
+    return [int(x) for x in minima(*sip_pairs([tokens_bytes(w) for w in windows]), k)]
 
 
 def sip_fingerprint(windows: list[list[str]]) -> int:
     """64 bits; the lowest place of the hashes becomes the highest of the result."""
-    counts = [0] * 64
-    for w in windows:
-        h = siphash24(tokens_bytes(w), 0, 0)
-        for i in range(64):
-            counts[i] += 1 - 2 * (h >> i & 1)
-    out = 0
-    for c in counts:
-        out = out << 1 | (c >= 0)
-    return out
+    return fingerprint(siphash24_many([tokens_bytes(w) for w in windows], 0, 0), 64)
 
 
 @F.pandas_udf(T.ArrayType(T.DecimalType(20, 0)))
@@ -131,12 +210,8 @@ def sip_min_hashes(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) ->
     from decimal import Decimal
 
     for text, width, k in batches:
-        out = []
-        for t, w, n in zip(text, width, k, strict=True):
-            words = (t or "").split(" ")
-            windows = [words[i : i + w] for i in range(len(words) - w + 1)]
-            out.append([Decimal(x) for x in sip_signature(windows, int(n))] if windows else None)
-        yield pd.Series(out)
+        made = [windows_of(t, int(w)) for t, w in zip(text, width, strict=True)]
+        yield pd.Series([[Decimal(x) for x in sip_signature(m, int(n))] if m else None for m, n in zip(made, k, strict=True)])
 
 
 def sip_items(items: list[str], k: int, bits: int) -> np.ndarray:

@@ -210,9 +210,7 @@ def hll_daily_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shingles(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.exploded(table(spark, d, "documents"), "doc_id", "text", WIDTH).groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.countDistinct("shingle").alias("n_distinct")
-    )
+    return similarity.shingle_counts(table(spark, d, "documents"), "doc_id", "text", WIDTH)
 
 
 def _neighbours(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -93,13 +93,15 @@ def _supplier(value: str) -> str:
 
 
 def _layout() -> str:
-    s = c.QUOTIENT_SMALL
-    pairs = f"SELECT DISTINCT * FROM ({_quotient('(SELECT s_suppkey FROM supplier WHERE s_suppkey <= 700)', 's_suppkey', s)})"
-    return f"""WITH p AS ({pairs}), d AS (SELECT quotient, remainder, turn, quotient + turn * {s.capacity} AS q FROM p, (SELECT unnest([0, 1]) AS turn)),
+    """The filter's size follows from the table's rows, as in the query."""
+    least, r = c.QUOTIENT_SMALL.quotient_bits, c.QUOTIENT_SMALL.remainder_bits
+    return f"""WITH z AS (SELECT 1::BIGINT << greatest({least}, ceil(log2(1.33 * greatest(count(*), 1)))::INTEGER) AS size FROM supplier),
+      p AS (SELECT DISTINCT (a >> {r}) % size AS quotient, a % {1 << r} AS remainder FROM (SELECT {duck_half("s_suppkey::VARCHAR", 0)} AS a FROM supplier), z),
+      d AS (SELECT quotient, remainder, turn, quotient + turn * size AS q FROM p, z, (SELECT unnest([0, 1]) AS turn)),
       k AS (SELECT *, row_number() OVER (ORDER BY q, remainder) - 1 AS k FROM d),
       l AS (SELECT *, k + max(q - k) OVER (ORDER BY q, remainder ROWS UNBOUNDED PRECEDING) AS slot FROM k)
-      SELECT slot % {s.capacity} AS slot, quotient, remainder, (slot % {s.capacity}) IN (SELECT quotient FROM p) AS is_occupied,
-      row_number() OVER (PARTITION BY quotient ORDER BY remainder) > 1 AS is_continuation, slot % {s.capacity} <> quotient AS is_shifted FROM l WHERE turn = 1"""
+      SELECT slot % size AS slot, quotient, remainder, (slot % size) IN (SELECT quotient FROM p) AS is_occupied,
+      row_number() OVER (PARTITION BY quotient ORDER BY remainder) > 1 AS is_continuation, slot % size <> quotient AS is_shifted FROM l, z WHERE turn = 1"""
 
 
 def _marked(columns: str, keyed: str, stored: str, pair: tuple[str, str]) -> str:
@@ -132,11 +134,12 @@ SQL: dict[str, str] = {
     "cuckoo_contains": _marked("p_partkey", _cuckoo("part", "p_partkey, "), CUCKOO_SET, ("fingerprint", "min_bucket")),
     "cuckoo_remove": f"{CUCKOO_SET} EXCEPT {_cuckoo(SMALL.format(5))}",
     "cuckoo_stats": f"""SELECT n AS stored, {c.CUCKOO.buckets}::BIGINT AS buckets, {c.CUCKOO.capacity}::BIGINT AS slots, greatest(n - {c.CUCKOO.capacity}, 0)::BIGINT AS overflow,
+      n = 0 AS is_empty, n > {c.CUCKOO.capacity} AS is_nearly_full,
       round(1 - pow({(_f - 2) / (_f - 1)!r}, {2.0 * c.CUCKOO.entries} * least(n, {c.CUCKOO.capacity}) / {c.CUCKOO.capacity}), 9) AS estimated_fpp FROM (SELECT count(*) AS n FROM ({CUCKOO_SET}))""",
     "quotient_set": QUOTIENT_SET,
     "quotient_contains": _marked("p_partkey", _quotient("part", "p_partkey", c.QUOTIENT, "p_partkey, "), QUOTIENT_SET, ("quotient", "remainder")),
     "quotient_remove": f"{QUOTIENT_SET} EXCEPT {_quotient(SMALL.format(5), 'p_partkey', c.QUOTIENT)}",
-    "quotient_stats": f"""SELECT n AS stored, {c.QUOTIENT.capacity}::BIGINT AS slots, n > {c.QUOTIENT.capacity} AS over_full,
+    "quotient_stats": f"""SELECT n AS stored, {c.QUOTIENT.capacity}::BIGINT AS slots, n = 0 AS is_empty, n > {c.QUOTIENT.capacity} AS over_full,
       round(1 - exp(-(n / {float(c.QUOTIENT.capacity)}) / {2.0**c.QUOTIENT.remainder_bits}), 9) AS estimated_fpp FROM (SELECT count(*) AS n FROM ({QUOTIENT_SET}))""",
     "quotient_layout": _layout(),
     "cms_grid": LINES,
