@@ -2,7 +2,11 @@
 
 Keys are dealt to shards by hash, and every shard is an independent filter fed in the order of an explicit column.  A shard's rows
 are sorted where they lie and streamed through, batch by batch, so a task holds a filter's bits and one batch, never a group.
+How many shards there are is part of a filter's definition; tasks follow the session's shuffle partitions.
 Random choices are a hash of (seed, shard, step, partition), so a rerun decides alike.  Null keys are skipped.
+
+A grown filter is a table: ``grow`` gives (shard, layer, slots, width, a, b, overflow), one row for each layer with null a and b, then
+its content: word number and word of a Bloom layer, fingerprint and smaller bucket of a cuckoo layer.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..hashing import cubic, half, key_of
+from ..functions import WORD, bit_of, fresh, popcount, unused, word_of
+from ..hashing import cubic, half, key_of, nth, pair
 from ..shipping import ship
 from .fingerprint import CuckooSpec
 
+SHARDS = 512
+
 
 def digest_pair(key: str, seed: str = "") -> tuple[int, int]:
     d = hashlib.md5((seed + key).encode()).hexdigest()
@@ -64,6 +71,7 @@ class ScalableBloom:
     fpp: float
     growth: float = 2.0
     tightening: float = 0.5
+    seed: str = ""
     layers: list[BitLayer] = field(default_factory=list)
 
     def __post_init__(self):
@@ -77,15 +85,16 @@ class ScalableBloom:
         self.layers = [self._layer(self.initial_bits, self.fpp)]
 
     def contains(self, key: str) -> bool:
-        a, b = digest_pair(key)
+        a, b = digest_pair(key, self.seed)
         return any(x.contains(a, b) for x in self.layers)
 
     def insert(self, key: str) -> bool:
         """Whether the key was new."""
-        if self.contains(key):
+        a, b = digest_pair(key, self.seed)
+        if any(x.contains(a, b) for x in self.layers):
             return False
         last = self.layers[-1]
-        last.insert(*digest_pair(key))
+        last.insert(a, b)
         if 2 * last.ones >= last.bits:
             self.layers.append(self._layer(math.ceil(last.bits * self.growth), self.fpp * self.tightening ** len(self.layers)))
         return True
@@ -94,8 +103,36 @@ class ScalableBloom:
     def estimated_fpp(self) -> float:
         return 1 - math.prod(1 - x.estimated_fpp for x in self.layers)
 
-    def describe(self) -> list[dict]:
-        return [{"layer": i, "slots": x.bits, "width": x.hashes, "held": x.ones, "overflow": 0, "estimated_fpp": x.estimated_fpp} for i, x in enumerate(self.layers)]
+    def __len__(self) -> int:
+        """Bits of all layers."""
+        return sum(x.bits for x in self.layers)
+
+    @property
+    def is_empty(self) -> bool:
+        """No bits at all, as for a plain filter; a fresh one is not empty."""
+        return len(self) == 0
+
+    @property
+    def filter_count(self) -> int:
+        return len(self.layers)
+
+    @property
+    def count_ones(self) -> int:
+        return sum(x.ones for x in self.layers)
+
+    @property
+    def count_zeros(self) -> int:
+        return len(self) - self.count_ones
+
+    def rows(self) -> Iterator[tuple]:
+        """(layer, slots, width, a, b, overflow): a layer's head, then its words."""
+        for i, x in enumerate(self.layers):
+            yield i, x.bits, x.hashes, None, None, False
+            padded = np.zeros(-(-x.bits // WORD) * WORD, bool)
+            padded[: x.bits] = x.data
+            words = np.packbits(padded, bitorder="little").view("<u4")
+            for at in np.flatnonzero(words).tolist():
+                yield i, x.bits, x.hashes, at, int(words[at]), False
 
 
 class CuckooLayer:
@@ -148,8 +185,21 @@ class CuckooLayer:
         self.extra.discard((fp, min(i, j)))
 
     def __len__(self) -> int:
+        """Slots taken; items that found none are beside them."""
         return sum(map(len, self.table))
 
+    @property
+    def is_empty(self) -> bool:
+        return len(self) == 0
+
+    @property
+    def is_nearly_full(self) -> bool:
+        return bool(self.extra)
+
+    def clear(self) -> None:
+        self.table = [[] for _ in range(self.spec.buckets)]
+        self.extra.clear()
+
     @property
     def estimated_fpp(self) -> float:
         f = 2.0**self.spec.fingerprint_bits
@@ -165,13 +215,14 @@ class ScalableCuckoo:
     growth: float = 2.0
     tightening: float = 0.5
     entries: int = 4
+    seed: str = ""
     layers: list[CuckooLayer] = field(default_factory=list)
 
     def __post_init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.layers = [CuckooLayer(CuckooSpec.for_fpp(self.initial_items, self.fpp, self.entries))]
+        self.layers = [CuckooLayer(CuckooSpec.for_fpp(self.initial_items, self.fpp, self.entries, self.seed))]
 
     def contains(self, key: str) -> bool:
         return any(x.contains(key) for x in self.layers)
@@ -183,7 +234,7 @@ class ScalableCuckoo:
         last.insert(key)
         if last.extra or len(last) == last.spec.capacity:
             n = len(self.layers)
-            spec = CuckooSpec.for_fpp(math.ceil(last.spec.capacity * self.growth), self.fpp * self.tightening**n, self.entries)
+            spec = CuckooSpec.for_fpp(math.ceil(last.spec.capacity * self.growth), self.fpp * self.tightening**n, self.entries, self.seed)
             self.layers.append(CuckooLayer(spec, n))
         return True
 
@@ -202,11 +253,28 @@ class ScalableCuckoo:
     def estimated_fpp(self) -> float:
         return 1 - math.prod(1 - x.estimated_fpp for x in self.layers)
 
-    def describe(self) -> list[dict]:
-        return [
-            {"layer": i, "slots": x.spec.capacity, "width": x.spec.fingerprint_bits, "held": len(x), "overflow": len(x.extra), "estimated_fpp": x.estimated_fpp}
-            for i, x in enumerate(self.layers)
-        ]
+    @property
+    def is_empty(self) -> bool:
+        return len(self) == 0
+
+    @property
+    def filter_count(self) -> int:
+        return len(self.layers)
+
+    @property
+    def entries_per_index(self) -> int:
+        return self.entries
+
+    def rows(self) -> Iterator[tuple]:
+        """(layer, slots, width, a, b, overflow): a layer's head, then its pairs."""
+        for i, x in enumerate(self.layers):
+            shape = i, x.spec.capacity, x.spec.fingerprint_bits
+            yield *shape, None, None, False
+            for at, held in enumerate(x.table):
+                for fp in held:
+                    yield *shape, fp, min(at, x._other(fp, at)), False
+            for fp, at in sorted(x.extra):
+                yield *shape, fp, at, True
 
 
 class StreamFilter:
@@ -248,10 +316,23 @@ class StreamFilter:
     def clear(self) -> None:
         self.data[:] = False
 
+    def __len__(self) -> int:
+        """Bits of all partitions."""
+        return self.data.size
+
+    @property
+    def is_empty(self) -> bool:
+        """No bits at all; a fresh filter is not empty."""
+        return not self.data.size
+
     @property
     def ones(self) -> int:
         return int(self.data.sum())
 
+    @property
+    def zeros(self) -> int:
+        return len(self) - self.ones
+
     def dump(self) -> bytes:
         return self.step.to_bytes(8, "little") + np.packbits(self.data).tobytes()
 
@@ -266,41 +347,114 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def _sharded(df: DataFrame, key: Column, order: str, shards: int) -> DataFrame:
+    """(_order, _shard, _key): whole shards, sorted."""
     ship(df.sparkSession)
-    keyed = df.where(key.isNotNull()).select("*", key.alias("_key"), shard_of(key, shards).alias("_shard"))
-    return keyed.repartition(shards, "_shard").sortWithinPartitions("_shard", order, "_key")
+    keyed = df.where(key.isNotNull()).select(F.col(order).alias("_order"), shard_of(key, shards).alias("_shard"), key.alias("_key"))
+    return keyed.repartition("_shard").sortWithinPartitions("_shard", "_order", "_key")
+
 
+GROWN = "shard int, layer int, slots long, width int, a long, b long, overflow boolean"
+GROWN_ARROW = pa.schema([("shard", pa.int32()), ("layer", pa.int32()), ("slots", pa.int64()), ("width", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("overflow", pa.bool_())])
+#: Rows of a filter that are sent at a time.
+SENT = 10_000
 
-def grow(df: DataFrame, key: str, order: str, make, shards: int = 8) -> DataFrame:
-    """Layers of a growable filter in each shard: shard, layer, slots, width, held, overflow, estimated_fpp.
+
+def grow(df: DataFrame, key: str, order: str, make, shards: int = SHARDS) -> DataFrame:
+    """The filters that the keys grow, one in each shard that gets any, as a table.
 
     ``make()`` gives an empty ``ScalableBloom`` or ``ScalableCuckoo``.
     """
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows = None, None, []
-
-        def close() -> None:
-            if held is not None:
-                rows.extend({"shard": now, **x} for x in held.describe())
+    def sent(shard: int, held) -> Iterator[pa.RecordBatch]:
+        part = []
+        for row in held.rows():
+            part.append((shard, *row))
+            if len(part) == SENT:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), GROWN_ARROW, strict=True)], schema=GROWN_ARROW)
+                part = []
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), GROWN_ARROW, strict=True)], schema=GROWN_ARROW)
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
         for b in batches:
             for shard, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if shard != now:
-                    close()
+                    if held is not None:
+                        yield from sent(now, held)
                     now, held = shard, make()
                 held.insert(k)
-        close()
-        schema = pa.schema([("shard", pa.int32()), ("layer", pa.int32()), ("slots", pa.int64()), ("width", pa.int32()), ("held", pa.int64()), ("overflow", pa.int64()), ("estimated_fpp", pa.float64())])
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        if held is not None:
+            yield from sent(now, held)
+
+    return _sharded(df, key_of(key), order, shards).select("_shard", "_key").mapInArrow(fold, GROWN)
+
+
+def layers(grown: DataFrame, like: ScalableBloom | ScalableCuckoo) -> DataFrame:
+    """shard, layer, slots, width, held (ones, or pairs in slots), overflow (pairs without a slot), estimated_fpp; ``like`` is any filter of the kind."""
+    by = grown.groupBy("shard", "layer", "slots", "width")
+    if isinstance(like, ScalableBloom):
+        found = by.agg(F.coalesce(F.sum(popcount(F.col("b"))), F.lit(0)).cast("long").alias("held"), F.lit(0).cast("long").alias("overflow"))
+        return found.withColumn("estimated_fpp", F.pow(F.col("held") / F.col("slots"), F.col("width").cast("double")))
+    found = by.agg(F.count_if(F.col("a").isNotNull() & ~F.col("overflow")).alias("held"), F.count_if("overflow").alias("overflow"))
+    f = F.pow(F.lit(2.0), F.col("width").cast("double"))
+    return found.withColumn("estimated_fpp", 1 - F.pow((f - 2) / (f - 1), 2.0 * like.entries * F.col("held") / F.col("slots")))
+
+
+def summary(grown: DataFrame, like: ScalableBloom | ScalableCuckoo) -> DataFrame:
+    """shard, filter_count, slots (bits, or the capacity), held, unset, overflow, is_empty (nothing held), estimated_fpp (of all layers together)."""
+    of = layers(grown, like).groupBy("shard").agg(
+        F.count("*").alias("filter_count"), F.sum("slots").alias("slots"), F.sum("held").alias("held"), F.sum("overflow").alias("overflow"), F.product(1 - F.col("estimated_fpp")).alias("_p")
+    )
+    return of.select("shard", "filter_count", "slots", "held", (F.col("slots") - F.col("held")).alias("unset"), "overflow", (F.col("held") + F.col("overflow") == 0).alias("is_empty"), (1 - F.col("_p")).alias("estimated_fpp"))
+
+
+def _asked(df: DataFrame, key: Column, grown: DataFrame, like: ScalableBloom | ScalableCuckoo, shards: int) -> DataFrame:
+    """What each distinct key asks of each layer of its shard: _key, shard, layer, a, and of a Bloom layer the bit, of a cuckoo layer b."""
+    keys = df.where(key.isNotNull()).select(key.alias("_key")).distinct()
+    one, two = pair(F.col("_key"), like.seed)
+    keys = keys.select("_key", shard_of(F.col("_key"), shards).alias("shard"), one.alias("_a"), two.alias("_b"))
+    # shards times layers, and layers grow with the logarithm of a shard
+    heads = grown.where("a IS NULL").select("shard", "layer", "slots", "width")
+    met = keys.join(F.broadcast(heads), "shard")
+    if isinstance(like, ScalableBloom):
+        spread = met.select("_key", "shard", "layer", "slots", "_a", "_b", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("_i"))
+        at = nth(F.col("_a"), F.col("_b"), F.col("_i")) % F.col("slots")
+        return spread.select("_key", "shard", "layer", at.alias("_at")).select("_key", "shard", "layer", word_of(F.col("_at")).alias("a"), bit_of(F.col("_at")).alias("bit"))
+    buckets = (F.col("slots") / like.entries).cast("long")
+    low = F.col("_a") % F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
+    made = met.select("_key", "shard", "layer", buckets.alias("_n"), F.when(low == 0, F.lit(1).cast("long")).otherwise(low).alias("a"), (F.col("_b") % buckets).alias("_one"))
+    other = F.col("_one").bitwiseXOR(half(F.col("a").cast("string"), 0, like.seed) % F.col("_n"))
+    return made.select("_key", "shard", "layer", "a", F.least("_one", other).alias("b"))
+
+
+def with_contains(df: DataFrame, key: Column, grown: DataFrame, like: ScalableBloom | ScalableCuckoo, shards: int = SHARDS, name: str = "found") -> DataFrame:
+    """``df`` with a verdict: whether any layer of the key's shard may hold it; null for a null key.
+
+    Distinct keys are asked by joins with the filter's table, which is neither collected nor broadcast.
+    """
+    unused(df, name)
+    asked, held = _asked(df, key, grown, like, shards), grown.where("a IS NOT NULL")
+    if isinstance(like, ScalableBloom):
+        words = held.select("shard", "layer", "a", F.col("b").alias("word"))
+        hit = F.coalesce(F.col("word").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+        by_layer = asked.join(words, ["shard", "layer", "a"], "left").groupBy("_key", "layer").agg(F.bool_and(hit).alias("_hit"))
+        found = by_layer.groupBy("_key").agg(F.bool_or("_hit").alias("_hit"))
+    else:
+        found = asked.join(held.select("shard", "layer", "a", "b"), ["shard", "layer", "a", "b"], "left_semi").select("_key", F.lit(True).alias("_hit")).distinct()
+    own, other, hit = fresh(df, "_key", "_other", "_hit")
+    keyed = df.withColumn(own, key)
+    joined = keyed.join(found.select(F.col("_key").alias(other), F.col("_hit").alias(hit)), F.col(own) == F.col(other), "left")
+    return joined.select(*[joined[c] for c in df.columns], F.when(F.col(own).isNotNull(), F.coalesce(hit, F.lit(False))).alias(name))
+
 
-    rows = _sharded(df, key_of(key), order, shards).select("_shard", "_key")
-    return rows.mapInArrow(fold, "shard int, layer int, slots long, width int, held long, overflow long, estimated_fpp double")
+def remove(grown: DataFrame, df: DataFrame, key: Column, like: ScalableCuckoo, shards: int = SHARDS) -> DataFrame:
+    """Without the keys' pairs, in every layer; layers themselves stay, and room in earlier ones is not used again."""
+    return grown.join(_asked(df, key, grown, like, shards).select("shard", "layer", "a", "b").distinct(), ["shard", "layer", "a", "b"], "left_anti").select(*grown.columns)
 
 
-def deduplicate(df: DataFrame, key: str, order: str, bits_each: int, fpp: float, rule: str = "bs", shards: int = 8, seed: str = "") -> DataFrame:
-    """``order``, ``key`` (as text), shard and is_distinct for every row whose key is not null."""
+def deduplicate(df: DataFrame, key: str, order: str, bits_each: int, fpp: float, rule: str = "bs", shards: int = SHARDS, seed: str = "") -> DataFrame:
+    """``order``, item (the key as text), shard and is_distinct for every row whose key is not null."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
@@ -310,7 +464,9 @@ def deduplicate(df: DataFrame, key: str, order: str, bits_each: int, fpp: float,
                 if shard != now:
                     now, held = shard, StreamFilter(bits_each, fpp, rule, seed, shard)
                 out.append(held.insert(k))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(out, pa.bool_())], names=[order, "item", "shard", "is_distinct"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(out, pa.bool_())], names=["_order", "item", "shard", "is_distinct"])
 
-    rows = _sharded(df, key_of(key), order, shards).select(order, "_shard", "_key")
-    return rows.mapInArrow(fold, f"{order} {dict(df.dtypes)[order]}, item string, shard int, is_distinct boolean")
+    if order in ("item", "shard", "is_distinct"):
+        raise ValueError(f"the order column may not be called {order}")
+    rows = _sharded(df, key_of(key), order, shards)
+    return rows.mapInArrow(fold, f"_order {dict(df.dtypes)[order]}, item string, shard int, is_distinct boolean").withColumnRenamed("_order", order)

@@ -252,16 +252,48 @@ def simhash_candidates(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similar_candidates(simhash_fingerprint(spark, d), "doc_id", 3)
 
 
+BLOOM_LAYERS, CUCKOO_LAYERS = ordered.ScalableBloom(100, 0.01), ordered.ScalableCuckoo(8, 0.01)
+
+
+def _grown_bloom(spark: SparkSession, d: str) -> DataFrame:
+    """The order numbers of small line items, in every shard a filter that grows."""
+    some = table(spark, d, "lineitem").where("l_quantity <= 20")
+    return ordered.grow(some, "l_orderkey", "l_orderkey", lambda: ordered.ScalableBloom(100, 0.01))
+
+
+def _grown_cuckoo(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.grow(table(spark, d, "orders").where("o_orderstatus <> 'P'"), "o_orderkey", "o_orderkey", lambda: ordered.ScalableCuckoo(8, 0.01))
+
+
 def scalable_bloom_layers(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ordered.grow(table(spark, d, "events"), "user_id", "event_id", lambda: ordered.ScalableBloom(800, 0.01)))
+    return _rounded(ordered.layers(_grown_bloom(spark, d), BLOOM_LAYERS))
+
+
+def scalable_bloom_contains(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.with_contains(table(spark, d, "orders").select("o_orderkey"), _key("o_orderkey"), _grown_bloom(spark, d), BLOOM_LAYERS)
 
 
 def scalable_cuckoo_layers(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ordered.grow(table(spark, d, "customer"), "c_custkey", "c_custkey", lambda: ordered.ScalableCuckoo(100, 0.01)))
+    return _rounded(ordered.layers(_grown_cuckoo(spark, d), CUCKOO_LAYERS))
+
+
+def scalable_cuckoo_contains(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.with_contains(table(spark, d, "orders").select("o_orderkey"), _key("o_orderkey"), _grown_cuckoo(spark, d), CUCKOO_LAYERS)
+
+
+def scalable_cuckoo_remove(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs left of each layer without the urgent orders."""
+    gone = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    left = ordered.remove(_grown_cuckoo(spark, d), gone, _key("o_orderkey"), CUCKOO_LAYERS)
+    return ordered.layers(left, CUCKOO_LAYERS).select("shard", "layer", "held", "overflow")
+
+
+#: So few that bits meet and old customers fade.
+DEDUP_BITS = 8
 
 
 def _dedup(spark: SparkSession, d: str, rule: str) -> DataFrame:
-    return ordered.deduplicate(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 1 << 10, 0.01, rule)
+    return ordered.deduplicate(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", DEDUP_BITS, 0.01, rule)
 
 
 def bs_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -282,6 +314,6 @@ cuckoo_fingerprints cuckoo_contains cuckoo_remove cuckoo_stats quotient_set quot
 cms_grid cms_min cms_mean cms_median_bias cms_remove cms_heavy_hitters
 hll_registers hll_by_group hll_merge hll_rollup hll_vs_exact hll_daily_window
 shingles jaccard_pairs minhash_signature minhash_similarity simhash_fingerprint simhash_hamming simhash_candidates
-scalable_bloom_layers scalable_cuckoo_layers bs_dedup bssd_dedup rlbs_dedup
+scalable_bloom_layers scalable_bloom_contains scalable_cuckoo_layers scalable_cuckoo_contains scalable_cuckoo_remove bs_dedup bssd_dedup rlbs_dedup
 """.split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..hashing import BITS, duck_half, duck_nth
-from ..params import hll_alpha
+from ..operators.ordered import SHARDS
+from ..params import dedup_hashes, hll_alpha
 from . import catalogue as c
 
 
@@ -109,6 +110,74 @@ def _marked(columns: str, keyed: str, stored: str, pair: tuple[str, str]) -> str
     return f"SELECT {columns}, s.{x} IS NOT NULL AS found FROM ({keyed}) k LEFT JOIN ({stored}) s ON k.{x} = s.{x} AND k.{y} = s.{y}"
 
 
+def _shard(key: str) -> str:
+    return f"({duck_half(key, 1, 'shard:')} % {SHARDS})"
+
+
+def _most(n: int = 24) -> tuple[list[int], list[int]]:
+    """Bits and hashes of the first layers of the growing filter."""
+    like, bits, hashes = c.BLOOM_LAYERS, [], []
+    for i in range(n):
+        layer = like._layer(bits[-1] * 2 if bits else like.initial_bits, like.fpp * like.tightening**i)
+        bits.append(layer.bits)
+        hashes.append(layer.hashes)
+        if bits[-1] > 1 << 20:
+            break
+    return bits, hashes
+
+
+def _grown() -> str:
+    """Shards, each with its number of layers and the places that are set (layer * 2^32 + bit), one key after the other.
+
+    Only a key's first insertion can change anything, so a key counts once.
+    """
+    bits, hashes = _most()
+    places = lambda layer, count: f"list_transform(range({count}), lambda i: {layer} * 4294967296 + (a + i * b + i * (i - 1) * (i - 2) // 6) % (({bits}::BIGINT[])[{layer} + 1]))"
+    known = f"list_bool_or(list_transform(range(n), lambda l: list_has_all(held, {places('l', f'({hashes})[l + 1]')})))"
+    return f"""k AS (SELECT DISTINCT l_orderkey AS id, l_orderkey::VARCHAR AS k FROM lineitem WHERE l_quantity <= 20),
+      e AS (SELECT id, {_shard("k")}::INTEGER AS shard, {duck_half("k", 0)} AS a, {duck_half("k", 1)} AS b FROM k),
+      o AS (SELECT shard, a, b, row_number() OVER (PARTITION BY shard ORDER BY id) AS seq FROM e),
+      g AS (SELECT DISTINCT shard, 0::BIGINT AS seq, 1::BIGINT AS n, []::BIGINT[] AS held FROM o UNION ALL
+        SELECT shard, seq, CASE WHEN 2 * len(list_filter(now, lambda x: x // 4294967296 = n - 1)) >= ({bits}::BIGINT[])[n] THEN n + 1 ELSE n END, now FROM (
+          SELECT g.shard, o.seq, n, CASE WHEN {known} THEN held ELSE list_distinct(held || {places("(n - 1)", f"({hashes})[n]")}) END AS now
+          FROM g JOIN o ON o.shard = g.shard AND o.seq = g.seq + 1)),
+      f AS (SELECT shard, n, held, {bits}::BIGINT[] AS bits, {hashes}::INTEGER[] AS hashes FROM g QUALIFY row_number() OVER (PARTITION BY shard ORDER BY seq DESC) = 1)"""
+
+
+def _layers() -> str:
+    return f"""WITH RECURSIVE {_grown()}, l AS (SELECT shard, unnest(range(n)) AS layer, bits, hashes, held FROM f),
+      m AS (SELECT shard, layer::INTEGER AS layer, bits[layer + 1] AS slots, hashes[layer + 1] AS width, len(list_filter(held, lambda x: x // 4294967296 = layer))::BIGINT AS held FROM l)
+      SELECT shard, layer, slots, width, held, 0::BIGINT AS overflow, round(pow(held / slots, width), 9) AS estimated_fpp FROM m"""
+
+
+def _grown_contains() -> str:
+    place = "layer * 4294967296 + (a + i * b + i * (i - 1) * (i - 2) // 6) % bits[layer + 1]"
+    return f"""WITH RECURSIVE {_grown()},
+      q AS (SELECT o_orderkey, k, {_shard("k")} AS shard, {duck_half("k", 0)} AS a, {duck_half("k", 1)} AS b FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k FROM orders))
+      SELECT o_orderkey, coalesce(list_bool_or(list_transform(range(n), lambda layer: list_has_all(held, list_transform(range(hashes[layer + 1]), lambda i: {place})))), false) AS found
+      FROM q LEFT JOIN f ON f.shard = q.shard"""
+
+
+def _dedup(rule: str) -> str:
+    """One order of each shard after the other: the places that are set (partition * bits + bit) and the number of resets so far."""
+    n, k = c.DEDUP_BITS, dedup_hashes(0.01)
+    draw = lambda *parts: f"""('0x' || substr(md5({" || '/' || ".join(["''", "shard", "(step + 1)", *parts])}), 1, 12))::BIGINT"""
+    gone = {
+        "bs": f"list_transform(range({k}), lambda i: i * {n} + {draw(chr(39) + 'bit' + chr(39), 'i')} % {n})",
+        "bssd": f"[{draw(chr(39) + 'part' + chr(39))} % {k} * {n} + {draw(chr(39) + 'bit' + chr(39))} % {n}]",
+        "rlbs": f"""list_transform(list_filter(range({k}), lambda i: {draw(chr(39) + 'chance' + chr(39), 'i')} % {n} < len(list_filter(held, lambda x: x // {n} = i))),
+          lambda i: i * {n} + {draw(chr(39) + 'bit' + chr(39), 'i')} % {n})""",
+    }[rule]
+    return f"""WITH RECURSIVE e AS (SELECT o_orderkey, k, {_shard("k")}::INTEGER AS shard, {duck_half("k", 0)} AS a, {duck_half("k", 1)} AS b FROM (
+        SELECT o_orderkey, o_custkey::VARCHAR AS k FROM orders) WHERE k IS NOT NULL),
+      o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o_orderkey, k) AS seq, list_transform(range({k}), lambda i: i * {n} + (a + i * b + i * (i - 1) * (i - 2) // 6) % {n}) AS own FROM e),
+      g AS (SELECT DISTINCT shard, 0::BIGINT AS seq, 0::BIGINT AS step, []::BIGINT[] AS held, NULL::BIGINT AS o_orderkey, NULL::VARCHAR AS item, NULL::BOOLEAN AS is_distinct FROM o UNION ALL
+        SELECT shard, seq, step + is_new::INTEGER, CASE WHEN is_new THEN list_distinct(list_filter(held, lambda x: NOT list_contains(gone, x)) || own) ELSE held END, o_orderkey, k, is_new FROM (
+          SELECT *, CASE WHEN is_new THEN {gone} ELSE []::BIGINT[] END AS gone FROM (
+            SELECT g.shard, o.seq, step, held, o.o_orderkey, k, own, NOT list_has_all(held, own) AS is_new FROM g JOIN o ON o.shard = g.shard AND o.seq = g.seq + 1)))
+      SELECT o_orderkey, item, shard, is_distinct FROM g WHERE seq > 0"""
+
+
 _f = 2.0**c.CUCKOO.fingerprint_bits
 _low = (1 << BITS) - 1
 _level = {
@@ -155,6 +224,11 @@ SQL: dict[str, str] = {
       SELECT l_returnflag, NULL, 1, estimate FROM ({_level[1]}) UNION ALL SELECT NULL, NULL, 2, estimate FROM ({_level[2]})""",
     "hll_vs_exact": f"SELECT event_type, estimate, exact FROM ({_hll(EVENTS, 'event_type')}) JOIN (SELECT event_type, count(DISTINCT user_id) AS exact FROM events GROUP BY 1) USING (event_type)",
     "hll_daily_window": _hll(_registers("(SELECT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events)", "user_id", "day"), "day"),
+    "scalable_bloom_layers": _layers(),
+    "scalable_bloom_contains": _grown_contains(),
+    "bs_dedup": _dedup("bs"),
+    "bssd_dedup": _dedup("bssd"),
+    "rlbs_dedup": _dedup("rlbs"),
     "shingles": f"SELECT doc_id, count(*) AS n, count(DISTINCT shingle) AS n_distinct FROM ({SHINGLES}) GROUP BY doc_id",
     "jaccard_pairs": f"""WITH s AS (SELECT DISTINCT * FROM ({SHINGLES})), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
       pairs AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b FROM documents x JOIN documents y ON x.doc_id + 1 = y.doc_id),

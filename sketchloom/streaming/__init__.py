@@ -11,14 +11,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..hashing import key_of
 from ..operators import cms, hll
-from ..operators.ordered import StreamFilter, shard_of
+from ..operators.ordered import SHARDS, StreamFilter, shard_of
 from ..shipping import ship
 
 
-def deduplicate_stream(stream: DataFrame, key: str, order: str, bits_each: int, fpp: float, rule: str = "bs", shards: int = 8, seed: str = "") -> DataFrame:
+def deduplicate_stream(stream: DataFrame, key: str, order: str, bits_each: int, fpp: float, rule: str = "bs", shards: int = SHARDS, seed: str = "") -> DataFrame:
     """``order``, item, shard, is_distinct, with each shard's filter as state.
 
-    A micro-batch's rows are taken in the order of ``order``; batches follow one another.
+    A micro-batch's rows are taken in the order of ``order``; batches follow one another.  A shard's part of a micro-batch is sorted in
+    memory, so the source's rate limit and ``shards`` together bound what a task holds.
     """
     text = f"{order} {dict(stream.dtypes)[order]}, item string, shard int, is_distinct boolean"
 
