@@ -64,11 +64,18 @@ def test_fingerprint_sets(spark, spec):
     assert fp.contained(asked.where("item >= 2000"), key_of("item"), one, spec).count() <= 2 * 0.01 * 18_000
 
 
-def test_quotient_removal_touches_only_its_pair(spark):
-    """Neither removing an absent pair nor emptying a shifted run changes other members."""
-    held = spark.createDataFrame([(0, 1), (0, 2)], "quotient long, remainder long")
-    gone = spark.createDataFrame([(1, 1)], "quotient long, remainder long")
-    assert held.join(gone, held.columns, "left_anti").count() == 2
+@pytest.mark.parametrize("spec", [fp.QuotientSpec(3, 4), fp.CuckooSpec(8, 8)])
+def test_removal_touches_only_its_pair(spark, spec):
+    """In a filter so small that runs shift: removing what is absent changes nothing, removing a member takes its pair alone."""
+    words = [f"w{i}" for i in range(7)]
+    key = F.col("item")
+    stored = fp.build(items(spark, words, "string"), key, spec)
+    pairs = {w: tuple(fp.build(items(spark, [w], "string"), key, spec).first()) for w in [*words, "x1", "x2", "x3"]}
+    held = set(pairs[w] for w in words)
+    for gone in ([], ["x1", "x2", "x3"], ["w0"], ["w1", "w3", "x1"], words):
+        left = {tuple(r) for r in fp.remove(stored, items(spark, gone, "string"), key, spec).collect()}
+        assert left == held - {pairs[w] for w in gone}
+    assert fp.is_empty(fp.clear(stored)) and not fp.is_empty(stored)
 
 
 def test_quotient_layout_wraps(spark):
@@ -193,3 +200,133 @@ def test_saved_sketch(spark, tmp_path):
     save_sketch(words, spec, str(tmp_path / "b"))
     back, same = load_sketch(spark, str(tmp_path / "b"))
     assert same == spec and sorted(back.collect()) == sorted(words.collect())
+
+
+def test_estimated_rates_after_one_item(spark):
+    """A plain filter for 100 items at 0.01 has 959 bits, 7 of them set; a cuckoo filter one slot of 128."""
+    spec = BloomSpec.for_items(100, 0.01)
+    r = bloom.stats(bloom.build(items(spark, ["foo"], "string"), F.col("item"), spec), spec).first()
+    assert (spec.bits, spec.hashes, r.ones) == (959, 7, 7) and r.estimated_fpp == pytest.approx((7 / 959) ** 7)
+    cuckoo = fp.CuckooSpec.for_items(100)
+    r = fp.cuckoo_stats(fp.build(items(spark, ["foo"], "string"), F.col("item"), cuckoo), cuckoo).first()
+    assert (cuckoo.buckets, cuckoo.capacity) == (32, 128) and r.estimated_fpp == pytest.approx(1 - (254 / 255) ** (8 / 128))
+    assert not r.is_empty and not r.is_nearly_full
+    full = fp.cuckoo_stats(fp.build(items(spark, range(5)), key_of("item"), fp.CuckooSpec(1, 16, 4)), fp.CuckooSpec(1, 16, 4)).first()
+    assert full.is_nearly_full and full.overflow == 1
+    none = fp.quotient_stats(fp.build(items(spark, []), key_of("item"), fp.QuotientSpec(8, 4)), fp.QuotientSpec(8, 4)).first()
+    assert none.is_empty and none.estimated_fpp == 0
+
+
+# The 64-bit fingerprints of the three sentences' windows of two words.
+GOLDEN = [
+    0b1000_0101_1011_1000_0010_1111_1011_0000_1110_1000_0011_1011_0110_0100_0000_0100,
+    0b0000_0101_0011_1000_0001_1111_1111_1000_0111_1011_0011_0001_1010_0001_0000_0110,
+    0b1001_0011_1010_1010_1100_1011_0000_0000_0010_1100_0010_0001_0101_1000_0111_1101,
+]
+SENTENCES = ["the cat sat on a mat", "the cat sat on the mat", "we all scream for ice cream"]
+
+
+def test_values_fixed_by_siphash(spark):
+    """64-bit fingerprints of three sentences, their distances and their one candidate pair; the similarity of 100 minima."""
+    docs = spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string")
+    hashed = similarity.sim_hashes(docs, "doc_id", "text", 2, provider="sip24")
+    got = {r.doc_id: r.sim_hash % 2**64 for r in hashed.collect()}
+    assert got == {i: similarity.sip_fingerprint(similarity.windows_of(t, 2)) for i, t in enumerate(SENTENCES)}
+    assert [got[i] for i in range(3)] == GOLDEN
+    x, y = (hashed.select(F.col("doc_id").alias(f"d{n}"), F.col("sim_hash").alias(f"h{n}")) for n in (1, 2))
+    far = {(r.d1, r.d2): r.n for r in x.join(y, F.col("d1") < F.col("d2")).select("d1", "d2", similarity.hamming(F.col("h1"), F.col("h2")).alias("n")).collect()}
+    assert far == {(i, j): bin(got[i] ^ got[j]).count("1") for i in range(3) for j in range(i + 1, 3)} and far[0, 1] == min(far.values())
+    assert {(0, 1), (1, 2)} <= {tuple(r) for r in similarity.similar_candidates(hashed, "doc_id", 2, bits=64).collect()}
+    # with a window of two, every rotation's neighbours in unsigned order
+    expected = set()
+    for rot in range(64):
+        order = sorted(range(3), key=lambda i: ((got[i] << rot | got[i] >> (64 - rot)) % 2**64, i))
+        expected |= {tuple(sorted(p)) for p in zip(order, order[1:])}
+    assert {tuple(r) for r in similarity.similar_candidates(hashed, "doc_id", 2, bits=64).collect()} == expected
+    m = {r.doc_id: r.signature for r in similarity.min_hashes(docs, "doc_id", "text", 2, 100, provider="sip24").collect()}
+    assert sum(a == b for a, b in zip(m[0], m[1], strict=True)) == 49
+    assert [v % 2**64 for v in m[0]] == similarity.sip_signature(similarity.windows_of(SENTENCES[0], 2), 100)
+
+
+def test_minima_of_any_number_of_hashes(spark):
+    """More hashes than an aggregate would hold, against plain arithmetic; odd texts; names that clash."""
+    texts = [*SENTENCES, "one", "", None, "a  b", "x y " * 3_000]
+    docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, signature string")
+    got = {r.doc_id: r.signature for r in similarity.min_hashes(docs, "doc_id", "text", 2, 300, "s").collect()}
+    for i, t in enumerate(texts):
+        words = [] if t is None else t.split(" ")
+        pairs = [ordered.digest_pair(" ".join(words[j : j + 2]), "s") for j in range(len(words) - 1)]
+        expected = [min(a + n * b + n * (n - 1) * (n - 2) // 6 for a, b in pairs) for n in range(300)] if pairs else None
+        assert got.get(i) == expected
+    s = docs.select("doc_id", F.col("text").alias("t"))
+    one = similarity.sim_hashes(s, "doc_id", "t", 2)
+    assert {r.doc_id for r in one.collect()} == {0, 1, 2, 6, 7} and one.columns == ["doc_id", "sim_hash"]
+    with pytest.raises(ValueError):
+        similarity.min_hashes(docs, "doc_id", "text", 2, 0)
+    with pytest.raises(ValueError):
+        similarity.sim_hashes(docs, "doc_id", "text", 2, provider="md4")
+
+
+def test_shingles_of_any_width(spark):
+    texts = ["a b c d", "a", "", "a  b", "x x x x x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for width in (1, 2, 3, 5):
+        got = {r.doc_id: r.s for r in docs.select("doc_id", similarity.shingles(similarity.tokens(F.col("text")), width).alias("s")).collect()}
+        assert got == {i: [" ".join(w) for w in similarity.windows_of(t, width)] for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.n, r.n_distinct) for r in similarity.shingle_counts(docs, "doc_id", "text", 2).collect()}
+    assert got == {0: (3, 3), 3: (2, 2), 4: (4, 1)}
+
+
+#: Names that operators use inside, and names of their results' columns.
+CLASHING = "_a _b _key _asked _pos _word _at _words word word_idx fingerprint min_bucket quotient remainder _fingerprint _hit total _total _cell _cells _values row col cnt _w register rho _set _sum shard layer slots width a b _other".split()
+
+
+def test_columns_of_any_name_survive(spark):
+    """Every public function that takes a user's table keeps its columns and its rows, whatever they are called."""
+    df = items(spark, [1, 2, 3, None])
+    clash = df.withColumns({c: F.lit(f"kept {c}") for c in CLASHING})
+    key = key_of("item")
+    bspec, cspec, qspec, grid = BloomSpec.for_items(10, 0.01), fp.CuckooSpec.for_items(10), fp.QuotientSpec(8, 4), cms.CmsSpec(3, 50)
+    like = ordered.ScalableBloom(100, 0.01)
+    words = bloom.build(clash, key, bspec)
+    results = [bloom.with_contains(clash, key, words, bspec, limit=n) for n in (0, 1 << 20)]
+    results += [fp.with_contains(clash, key, fp.build(clash, key, s), s) for s in (cspec, qspec)]
+    results += [cms.estimate(clash, key, cms.build(clash, key, grid), grid, {"found": cms.count_min}, limit=n) for n in (0, 1 << 20)]
+    grown = ordered.grow(clash, "item", "item", lambda: ordered.ScalableBloom(100, 0.01), 4)
+    results.append(ordered.with_contains(clash, key, grown, like, 4))
+    for out in results:
+        assert out.columns == [*clash.columns, "found"]
+        rows = {r.item: r for r in out.collect()}
+        assert set(rows) == {1, 2, 3, None} and rows[None].found is None and all(rows[i].found for i in (1, 2, 3))
+        assert all(r[c] == f"kept {c}" for r in rows.values() for c in CLASHING)
+    for out in (bloom.contained(clash, key, words, bspec), fp.contained(clash, key, fp.build(clash, key, cspec), cspec), fp.contained(clash, key, fp.build(clash, key, qspec), qspec)):
+        assert out.columns == clash.columns and out.count() == 3
+    assert hll.estimate(hll.build(clash, key, 10, ["_set"]), 10, ["_set"]).columns == ["_set", "estimate"]
+    assert ordered.deduplicate(clash, "item", "_a", 16, 0.01).columns == ["_a", "item", "shard", "is_distinct"]
+    for again in (lambda: bloom.with_contains(clash, key, words, bspec, "row"), lambda: fp.with_contains(clash, key, grown, cspec, "TOTAL"), lambda: cms.estimate(clash, key, grown, grid, {"_a": cms.count_min})):
+        with pytest.raises(ValueError):
+            again()
+
+
+def test_large_sketches_are_joined(spark):
+    """Beyond the limits nothing is collected into one value, and answers are the same."""
+    spec = cms.CmsSpec.for_error(0.01, 0.02)
+    rows = spark.range(5_000).selectExpr("if(id % 50 = 0, null, id % 97) AS item")
+    sketch = cms.build(rows, key_of("item"), spec)
+    asked = spark.range(-5, 120).selectExpr("if(id < -3, null, id) AS item")
+    one, two = (cms.estimate(asked, key_of("item"), sketch, spec, limit=n) for n in (0, 1 << 20))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+    assert not cms.is_empty(sketch) and cms.is_empty(cms.clear(sketch))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "grid" not in plan
+
+
+def test_rollup_of_any_levels(spark):
+    """Every level from one aggregate equals counting that level alone; nulls among the groups are groups."""
+    p, df = 8, table(spark, SMALL, "lineitem").selectExpr("l_orderkey AS item", "nullif(l_returnflag, 'R') AS x", "l_linestatus AS y", "l_linenumber % 2 AS z")
+    got = hll.rollup(hll.build(df, key_of("item"), p, ["x", "y", "z"]), p, ["x", "y", "z"]).collect()
+    for level, names in ((0, ["x", "y", "z"]), (1, ["x", "y"]), (2, ["x"]), (3, [])):
+        alone = hll.estimate(hll.build(df, key_of("item"), p, names), p, names).collect()
+        of = lambda rows, names=names: sorted((*(str(r[n]) for n in names), r.estimate) for r in rows)
+        assert of(r for r in got if r.level == level) == of(alone)
+    assert hll.is_empty(hll.clear(hll.build(df, key_of("item"), p))) and not hll.is_empty(hll.build(df, key_of("item"), p))
