@@ -8,7 +8,7 @@ column that exists already is an error.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ class BloomSpec:
     hashes: int
     partitioned: bool = False
     seed: str = ""
+    #: Where the hashes come from: ``sql`` or ``xx`` (see ``hashing``); filters of different providers do not merge.
+    provider: str = "sql"
 
     @staticmethod
     def for_items(items: int, fpp: float, seed: str = "") -> BloomSpec:
@@ -69,7 +71,7 @@ class BloomSpec:
 
 def positions(key: Column, spec: BloomSpec) -> Column:
     """array<bigint> of the key's bit positions."""
-    a, b = pair(key, spec.seed)
+    a, b = pair(key, spec.seed, spec.provider)
     every = hashes(a, b, spec.hashes)
     if spec.partitioned:
         return F.transform(every, lambda h, i: h % spec.partition_bits + i * spec.partition_bits)
@@ -112,17 +114,18 @@ def with_contains(df: DataFrame, key: Column, words: DataFrame, spec: BloomSpec,
     """``df`` with a verdict column; the filter's length, known beforehand, decides between one value and a join.
 
     As one value the filter is a scalar subquery: rows are tested where they lie, each by its own bits, in generated code.
+    Filters on other columns belong before the probe; they are not pushed through it.
     """
     unused(df, name)
     if spec.bits <= limit:
-        one, two = fresh(df, "_a", "_b")
-        held, (a, b) = dense(words, spec).scalar(), pair(key, spec.seed)
-        # null for a null key, as the pair is
-        bits = [has_bit(held, position(F.col(one), F.col(two), i, spec)) for i in range(spec.hashes)]
-        verdict = bits[0]
-        for x in bits[1:]:
-            verdict = verdict & x
-        hashed = df.withColumns({one: a, two: b})
+        one, two, held, here = fresh(df, "_a", "_b", "_held", "_here")
+        a, b = pair(key, spec.seed, spec.provider)
+        # the task's number stands in the verdict only to keep a filter on it from being pushed below this projection, where the
+        # hashes would be computed again for every bit
+        hashed = df.withColumns({one: a, two: b, held: dense(words, spec).scalar(), here: F.spark_partition_id()})
+        verdict = F.col(here) >= 0
+        for i in range(spec.hashes):
+            verdict = verdict & has_bit(F.col(held), position(F.col(one), F.col(two), i, spec))
         return hashed.select(*[hashed[c] for c in df.columns], F.when(F.col(one).isNotNull(), verdict).alias(name))
     own, asked_key, at, idx = fresh(df, "_key", "_asked", "_pos", "_word")
     keyed = df.withColumn(own, key)
@@ -144,8 +147,11 @@ def reduced_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
 
     It pays where the big side would be shuffled and most of its rows find no partner; a small side that is broadcast needs no filter.
     """
-    words = build(small, F.col(small_key).cast("string"), spec)
-    thin = contained(big, F.col(big_key).cast("string"), words, spec)
+    # the filter never leaves this plan, so its hashes may be the quickest; keys of one type are hashed as they are
+    spec = replace(spec, provider="xx")
+    same = big.schema[big_key].dataType == small.schema[small_key].dataType
+    own, other = (F.col(c) if same else F.col(c).cast("string") for c in (big_key, small_key))
+    thin = contained(big, own, build(small, other, spec), spec)
     return thin.join(small, thin[big_key] == small[small_key])
 
 

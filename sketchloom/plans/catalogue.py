@@ -11,6 +11,7 @@ from ..hashing import key_of
 from ..operators import bloom, cms, hll, ordered, similarity
 from ..operators import fingerprint as fp
 from ..operators.bloom import BloomSpec
+from ..shipping import ship
 from ..sources import table
 
 CUSTOMERS = BloomSpec.for_items(20_000, 0.01)
@@ -219,9 +220,10 @@ def _neighbours(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "documents").select("doc_id", F.array_distinct(similarity.shingles(similarity.tokens(F.col("text")), WIDTH)).alias("s"))
-    pairs = _neighbours(sets.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("s_a")), sets.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("s_b")))
-    return pairs.select("doc_a", "doc_b", F.round(similarity.jaccard(F.col("s_a"), F.col("s_b")), 9).alias("jaccard"))
+    ship(spark)
+    docs = table(spark, d, "documents")
+    pairs = _neighbours(docs.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("a")), docs.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("b")))
+    return pairs.select("doc_a", "doc_b", F.round(similarity.jaccard_of_texts("a", "b", F.lit(WIDTH)), 9).alias("jaccard"))
 
 
 def _signatures(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,23 @@ def test_bloom_merges_as_one(spark):
     assert bloom.stats(bloom.clear(whole), spec).first().ones == 0
 
 
+def test_quick_hashes(spark):
+    """The other provider, on keys as they are: no false negative, its rate kept, nulls stay null; and the exact join that uses it."""
+    spec = replace(BloomSpec.for_items(1_000, 0.01), provider="xx")
+    words = bloom.build(spark.range(1_000).withColumnRenamed("id", "item"), F.col("item"), spec)
+    asked = spark.range(21_000).selectExpr("if(id = 20999, null, id) AS item")
+    for limit in (0, 1 << 20):
+        found = bloom.with_contains(asked, F.col("item"), words, spec, limit=limit)
+        assert found.where("found AND item < 1000").count() == 1_000 and found.where("found AND item >= 1000").count() <= 2 * 0.01 * 20_000
+        assert [r.found for r in found.where("item IS NULL").collect()] == [None]
+    big = asked.selectExpr("item AS k", "'x' AS v")
+    for small in (spark.range(900, 1_100).selectExpr("id AS k2"), spark.range(900, 1_100).selectExpr("cast(id AS string) AS k2")):
+        out = bloom.reduced_join(big, small, "k", "k2", BloomSpec.for_items(200, 0.01))
+        assert sorted(r.k for r in out.collect()) == list(range(900, 1_100))
+    with pytest.raises(ValueError):
+        bloom.positions(F.lit("x"), replace(spec, provider="md4"))
+
+
 def test_null_and_empty_probes(spark):
     spec = BloomSpec.for_items(10, 0.01)
     empty = bloom.build(items(spark, []), key_of("item"), spec)
@@ -124,6 +142,9 @@ def test_similarity_of_sentences(spark):
     pairs = sets.alias("x").join(sets.alias("y"), F.expr("x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), similarity.jaccard(F.col("x.s"), F.col("y.s")).alias("j"))
     got = {(r.a, r.b): r.j for r in pairs.collect()}
     assert got[0, 1] == pytest.approx(3 / 7) and got[0, 2] == 0
+    both = docs.alias("x").join(docs.alias("y"), F.expr("x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), similarity.jaccard_of_texts("x.text", "y.text", F.lit(2)).alias("j"))
+    assert {(r.a, r.b): r.j for r in both.collect()} == pytest.approx({k: v for k, v in got.items()})
+    assert docs.select(similarity.jaccard_of_texts(F.lit("a"), F.lit(None).cast("string"), F.lit(2))).first()[0] is None
     assert sets.select(similarity.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))).first()[0] is None
     hashed = similarity.sim_hashes(docs, "doc_id", "text", 2)
     assert {r.doc_id for r in hashed.collect()} == {0, 1, 2}
