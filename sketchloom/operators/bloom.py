@@ -85,9 +85,11 @@ def position(a: Column, b: Column, i: int, spec: BloomSpec) -> Column:
 
 
 def build(df: DataFrame, key: Column, spec: BloomSpec, group: str | None = None) -> DataFrame:
-    by = [group] if group else []
+    """(word_idx, word), with ``group`` in front where a filter is built for each of its values."""
+    by = [F.col(group).alias("_g")] if group else []
     rows = df.where(key.isNotNull()).select(*by, F.explode(positions(key, spec)).alias("pos"))
-    return rows.groupBy(*by, word_of(F.col("pos")).alias("word_idx")).agg(F.bit_or(bit_of(F.col("pos"))).alias("word"))
+    words = rows.groupBy(*["_g" for _ in by], word_of(F.col("pos")).alias("word_idx")).agg(F.bit_or(bit_of(F.col("pos"))).alias("word"))
+    return words.withColumnRenamed("_g", group) if group else words
 
 
 def union(*filters: DataFrame) -> DataFrame:

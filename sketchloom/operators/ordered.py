@@ -45,7 +45,7 @@ class BitLayer:
 
     def __init__(self, bits: int, hashes: int):
         self.bits, self.hashes, self.ones = bits, hashes, 0
-        self.data = np.zeros(bits, bool)
+        self.data = bytearray(bits)  # a byte for each bit: single places are read and set quickly
 
     def places(self, a: int, b: int) -> list[int]:
         return [(a + i * b + cubic(i)) % self.bits for i in range(self.hashes)]
@@ -56,7 +56,7 @@ class BitLayer:
     def insert(self, a: int, b: int) -> None:
         for p in self.places(a, b):
             self.ones += not self.data[p]
-            self.data[p] = True
+            self.data[p] = 1
 
     @property
     def estimated_fpp(self) -> float:
@@ -128,8 +128,8 @@ class ScalableBloom:
         """(layer, slots, width, a, b, overflow): a layer's head, then its words."""
         for i, x in enumerate(self.layers):
             yield i, x.bits, x.hashes, None, None, False
-            padded = np.zeros(-(-x.bits // WORD) * WORD, bool)
-            padded[: x.bits] = x.data
+            padded = np.zeros(-(-x.bits // WORD) * WORD, np.uint8)
+            padded[: x.bits] = np.frombuffer(x.data, np.uint8)
             words = np.packbits(padded, bitorder="little").view("<u4")
             for at in np.flatnonzero(words).tolist():
                 yield i, x.bits, x.hashes, at, int(words[at]), False
@@ -288,57 +288,66 @@ class StreamFilter:
         if rule not in ("bs", "bssd", "rlbs"):
             raise ValueError(f"no such rule: {rule}")
         self.k, self.n, self.rule, self.seed, self.shard, self.step = params.dedup_hashes(fpp), bits_each, rule, seed, shard, 0
-        self.data = np.zeros((self.k, self.n), bool)
+        self.clear()
+
+    def clear(self) -> None:
+        self.data = bytearray(self.k * self.n)  # a byte for each bit, partition after partition
+        self.held = [0] * self.k  # ones of each partition
 
-    def places(self, key: str) -> np.ndarray:
+    def places(self, key: str) -> list[int]:
         a, b = digest_pair(key, self.seed)
-        return np.array([(a + i * b + cubic(i)) % self.n for i in range(self.k)])
+        return [i * self.n + (a + i * b + cubic(i)) % self.n for i in range(self.k)]
 
     def contains(self, key: str) -> bool:
-        return bool(self.data[np.arange(self.k), self.places(key)].all())
+        return all(self.data[p] for p in self.places(key))
+
+    def _reset(self, part: int, bit: int) -> None:
+        if self.data[part * self.n + bit]:
+            self.data[part * self.n + bit] = 0
+            self.held[part] -= 1
 
     def insert(self, key: str) -> bool:
         """Whether the key is distinct so far; a key held already changes nothing."""
         at = self.places(key)
-        if self.data[np.arange(self.k), at].all():
+        if all(self.data[p] for p in at):
             return False
         self.step += 1
         roll = lambda *p: draw(self.seed, self.shard, self.step, *p)
         if self.rule == "bssd":
-            self.data[roll("part") % self.k, roll("bit") % self.n] = False
+            self._reset(roll("part") % self.k, roll("bit") % self.n)
         else:
             for i in range(self.k):
-                if self.rule == "bs" or roll("chance", i) % self.n < int(self.data[i].sum()):
-                    self.data[i, roll("bit", i) % self.n] = False
-        self.data[np.arange(self.k), at] = True
+                if self.rule == "bs" or roll("chance", i) % self.n < self.held[i]:
+                    self._reset(i, roll("bit", i) % self.n)
+        for i, p in enumerate(at):
+            self.held[i] += not self.data[p]
+            self.data[p] = 1
         return True
 
-    def clear(self) -> None:
-        self.data[:] = False
-
     def __len__(self) -> int:
         """Bits of all partitions."""
-        return self.data.size
+        return len(self.data)
 
     @property
     def is_empty(self) -> bool:
         """No bits at all; a fresh filter is not empty."""
-        return not self.data.size
+        return not self.data
 
     @property
     def ones(self) -> int:
-        return int(self.data.sum())
+        return sum(self.held)
 
     @property
     def zeros(self) -> int:
         return len(self) - self.ones
 
     def dump(self) -> bytes:
-        return self.step.to_bytes(8, "little") + np.packbits(self.data).tobytes()
+        return self.step.to_bytes(8, "little") + np.packbits(np.frombuffer(self.data, np.uint8)).tobytes()
 
     def load(self, state: bytes) -> StreamFilter:
         self.step = int.from_bytes(state[:8], "little")
-        self.data = np.unpackbits(np.frombuffer(state, np.uint8, offset=8), count=self.k * self.n).astype(bool).reshape(self.k, self.n)
+        bits = np.unpackbits(np.frombuffer(state, np.uint8, offset=8), count=self.k * self.n)
+        self.data, self.held = bytearray(bits.tobytes()), bits.reshape(self.k, self.n).sum(axis=1).tolist()
         return self
 
 

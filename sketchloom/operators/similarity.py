@@ -4,8 +4,8 @@ Texts are split at single spaces, without normalisation.  A text with fewer toke
 signature and no fingerprint, and its similarity to another such text is null.
 
 Signatures and fingerprints are made where the texts lie, in Arrow batches, from one of two hash providers: ``sql`` (48-bit
-halves of an MD5 of the joined window, which any SQL engine can follow) or ``sip24`` (64-bit SipHash of the window's tokens, wrapping).
-64-bit values come as signed integers of the same bits.
+halves of an MD5 of the joined window, after ``seed``, which any SQL engine can follow) or ``sip24`` (64-bit SipHash of the window's
+tokens under ``keys``, wrapping).  64-bit values come as signed integers of the same bits.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from ..shipping import ship
 #: Hashes held at once while minima are taken.
 HELD = 1 << 20
 PROVIDERS = {"sql": BITS, "sip24": 64}
+#: Two pairs of 64-bit words.
+SipKeys = tuple[tuple[int, int], tuple[int, int]]
+KEYS: SipKeys = ((0, 0), (1, 1))
 
 
 def tokens(text: Column) -> Column:
@@ -103,10 +106,10 @@ def windows_of(text: str | None, width: int) -> list[list[str]]:
     return [words[i : i + width] for i in range(len(words) - width + 1)]
 
 
-def window_pairs(text: str | None, width: int, seed: str, provider: str) -> tuple[np.ndarray, np.ndarray]:
+def window_pairs(text: str | None, width: int, seed: str, provider: str, keys: SipKeys = KEYS) -> tuple[np.ndarray, np.ndarray]:
     """The hash pairs of a text's windows, duplicates kept."""
     if provider == "sip24":
-        return sip_pairs([tokens_bytes(w) for w in windows_of(text, width)])
+        return sip_pairs([tokens_bytes(w) for w in windows_of(text, width)], keys)
     digests = b"".join(hashlib.md5((seed + " ".join(w)).encode()).digest()[:12] for w in windows_of(text, width))
     raw = np.frombuffer(digests, np.uint8).reshape(-1, 2, 6)
     wide = np.zeros((len(raw), 2, 8), np.uint8)
@@ -158,7 +161,7 @@ def check_provider(provider: str) -> int:
     return PROVIDERS[provider]
 
 
-def min_hashes(docs: DataFrame, doc: str, text: str, width: int, k: int, seed: str = "", provider: str = "sql") -> DataFrame:
+def min_hashes(docs: DataFrame, doc: str, text: str, width: int, k: int, seed: str = "", provider: str = "sql", keys: SipKeys = KEYS) -> DataFrame:
     """(doc, signature array<bigint>): the k minima over the shingles, for any k."""
     check_provider(provider)
     if k < 1:
@@ -167,7 +170,7 @@ def min_hashes(docs: DataFrame, doc: str, text: str, width: int, k: int, seed: s
         raise ValueError(f"sums of {k} hashes of {BITS} bits leave 64 bits; the provider sip24 has no such limit")
 
     def made(t: str | None) -> list[int] | None:
-        a, b = window_pairs(t, width, seed, provider)
+        a, b = window_pairs(t, width, seed, provider, keys)
         return minima(a, b, k).view(np.int64).tolist() if len(a) else None
 
     return _per_text(docs, doc, text, "signature", T.ArrayType(T.LongType()), made)
@@ -179,13 +182,13 @@ def signature_similarity(one: Column, two: Column, k: int) -> Column:
     return F.when((F.size(one) == k) & (F.size(two) == k), same / k)
 
 
-def sim_hashes(docs: DataFrame, doc: str, text: str, width: int, seed: str = "", provider: str = "sql") -> DataFrame:
-    """(doc, sim_hash): 48 bits, or 64 from SipHash."""
+def sim_hashes(docs: DataFrame, doc: str, text: str, width: int, seed: str = "", provider: str = "sql", keys: SipKeys = KEYS) -> DataFrame:
+    """(doc, sim_hash): 48 bits, or 64 from SipHash under the first key."""
     bits = check_provider(provider)
 
     def made(t: str | None) -> int | None:
         if provider == "sip24":
-            h = siphash24_many([tokens_bytes(w) for w in windows_of(t, width)], 0, 0)
+            h = siphash24_many([tokens_bytes(w) for w in windows_of(t, width)], *keys[0])
         else:
             h = window_pairs(t, width, seed, provider)[0]
         if not len(h):

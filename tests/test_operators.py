@@ -183,9 +183,9 @@ def test_scalable_filters():
 @pytest.mark.parametrize("rule", ["bs", "bssd", "rlbs"])
 def test_stream_filter(rule):
     f = ordered.StreamFilter(10, 0.01, rule)
-    assert f.insert("foo") and f.ones == 7 and f.data.size == 70 and not f.insert("foo") and f.contains("foo")
+    assert f.insert("foo") and f.ones == 7 and len(f) == 70 and not f.insert("foo") and f.contains("foo")
     again = ordered.StreamFilter(10, 0.01, rule).load(f.dump())
-    assert again.contains("foo") and again.step == f.step
+    assert again.contains("foo") and again.step == f.step and (again.data, again.held) == (f.data, f.held)
     f.clear()
     assert f.ones == 0
     wide = ordered.StreamFilter(1 << 14, 0.01, rule)
@@ -269,6 +269,14 @@ def test_values_fixed_by_siphash(spark):
     assert [v % 2**64 for v in m[0]] == similarity.sip_signature(similarity.windows_of(SENTENCES[0], 2), 100)
 
 
+def test_seeds_and_keys_matter(spark):
+    docs = spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string")
+    made = [{"seed": "a"}, {"seed": "b"}, {"provider": "sip24"}, {"provider": "sip24", "keys": ((3, 4), (5, 6))}]
+    for f in (lambda **k: similarity.min_hashes(docs, "doc_id", "text", 2, 8, **k), lambda **k: similarity.sim_hashes(docs, "doc_id", "text", 2, **k)):
+        first = [str(f(**k).orderBy("doc_id").first()[1]) for k in made]
+        assert len(set(first)) == 4
+
+
 def test_minima_of_any_number_of_hashes(spark):
     """More hashes than an aggregate would hold, against plain arithmetic; odd texts; names that clash."""
     texts = [*SENTENCES, "one", "", None, "a  b", "x y " * 3_000]
@@ -322,6 +330,8 @@ def test_columns_of_any_name_survive(spark):
         assert all(r[c] == f"kept {c}" for r in rows.values() for c in CLASHING)
     for out in (bloom.contained(clash, key, words, bspec), fp.contained(clash, key, fp.build(clash, key, cspec), cspec), fp.contained(clash, key, fp.build(clash, key, qspec), qspec)):
         assert out.columns == clash.columns and out.count() == 3
+    assert bloom.build(clash.withColumn("pos", F.col("item")), key, bspec, "pos").columns == ["pos", "word_idx", "word"]
+    assert cms.build(clash, key, grid, group="_key").columns == ["_key", "row", "col", "cnt"]
     assert hll.estimate(hll.build(clash, key, 10, ["_set"]), 10, ["_set"]).columns == ["_set", "estimate"]
     assert ordered.deduplicate(clash, "item", "_a", 16, 0.01).columns == ["_a", "item", "shard", "is_distinct"]
     for again in (lambda: bloom.with_contains(clash, key, words, bspec, "row"), lambda: fp.with_contains(clash, key, grown, cspec, "TOTAL"), lambda: cms.estimate(clash, key, grown, grid, {"_a": cms.count_min})):
