@@ -308,7 +308,10 @@ def mask(text: str, spans: list, put: str = "[SECRET]") -> str:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets masked; every other column stays, a null text stays null."""
+    """The documents with the spans of ``scan`` masked in their texts; ``n_chars``, where there is one, follows the new text.
+
+    Every other column stays, whatever it is called; a null text stays null, repeated rows stay repeated, an empty table stays empty.
+    """
     tune(docs.sparkSession)
     names = docs.columns
     i, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None

@@ -20,7 +20,7 @@ def shingle_set(text):
     return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {d: shingle_set(t) for d, t in rows}
     root = {d: d for d in sets}
 
@@ -33,7 +33,7 @@ def brute(rows):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             m = len(sets[a] & sets[b])
-            if m and 100 * m >= 85 * (len(sets[a]) + len(sets[b]) - m):
+            if m and 100 * m >= percent * (len(sets[a]) + len(sets[b]) - m):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return sorted(((d, len(sets[d]), find(d), find(d) == d) for d in ids), key=repr)
