@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: five stages, each over all that the one before kept."""
+"""The training-corpus pipeline: five stages, each over all that the one before kept.
+
+Defined results: all stages but the last return the columns of documents, whatever further columns there are; a null or wordless text is
+rejected by the classifier (unless no labels of both kinds exist) and by the rules at the latest; rows that repeat an id and text share one fate up to
+near-dedup, which leaves one row of the smallest id of each component; a row with a null id is judged like others and is never a near copy;
+ties are broken by smaller ids; an empty table gives an empty result.  Each stage's docstring has its own cases.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm import neardup, packing, quality, queries, rules, secrets
-from sketchloom.llm.common import Scratch, table
+from sketchloom.llm.common import Scratch, release, scratch_mark, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +57,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents; each result is written to the shared folder and read again.
+
+    What a stage needed for itself, and the result before it, are removed once its own result is written.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     scratch = Scratch(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.keep(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        began = scratch_mark()
+        made = stage(spark, docs, sf_dir)
+        ended = scratch_mark()
+        docs = scratch.keep(made)
+        release(spark, began, ended)
+        if last is not None:
+            scratch.drop(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
