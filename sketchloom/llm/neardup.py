@@ -26,7 +26,7 @@ Work is kept from growing with the square of a group:
   puts passages last, so texts that share only a passage part; the groups of one such shingle are split by set size,
   since similar sets have similar sizes, and compared in blocks of bounded size. Ids and signatures travel to the blocks; a set follows only where its
   signature has found a partner, and only to its two largest groups (these settle the most pairs without emitting any; pairs that meet elsewhere are
-  emitted and confirmed). Every block is a task's unit, dealt by an explicit number of partitions.
+  emitted and confirmed, unless the homes' links have made them one component by then). Every block is a task's unit, dealt by an explicit number of partitions.
 
 Defined results: ASCII letters are lower-cased, words are runs without the six ASCII spaces; a text of fewer than
 five words is one shingle; a null text, or one without words, has no set and links with nothing;
@@ -86,11 +86,11 @@ class Rule:
 CHUNKS, SLOTS = Rule().chunks, Rule().slots
 GUARANTEED = 2 * CHUNKS - 1
 #: Members compared with one another in one block.
-BLOCK = 1024
+BLOCK = 512
 #: Members that one task compares, about.
 TASK_MEMBERS = 8_192
 #: Bytes up to which the table of groups is broadcast.
-LIVE_BYTES = 16 << 20
+LIVE_BYTES = 4 << 20
 #: Frequent shingles that the prefix order puts last.
 COMMON = 100_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -235,7 +235,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFr
 
 
 def prefixes(sets: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
-    """(key, doc): the shingles of each set of which two similar sets share one.
+    """(key, doc, pos): the shingles of each set of which two similar sets share one, and their places in the order.
 
     The order is by hash, with up to ``COMMON`` shingles that most of these sets hold moved to the end, rarest first.
     """
@@ -256,7 +256,7 @@ def prefixes(sets: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     ranks = sets.sparkSession.sparkContext.broadcast(np.array([place[x] for x in sorted(place)], np.int64))
 
     def first(b: pa.RecordBatch) -> pa.RecordBatch:
-        docs, keys = [], []
+        docs, keys, places = [], [], []
         for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             s = np.frombuffer(x.as_buffer(), np.int64)
             late = np.full(len(s), -1, np.int64)
@@ -266,9 +266,10 @@ def prefixes(sets: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
             size = len(s) - -(-rule.percent * len(s) // 100) + 1
             keys.append(s[np.lexsort((s, late))[:size]])
             docs.append(np.full(len(keys[-1]), d))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["key", "doc"])
+            places.append(np.arange(len(keys[-1])))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, places)], names=["key", "doc", "pos"])
 
-    return per_batch(sets, first, "key long, doc long")
+    return per_batch(sets, first, "key long, doc long, pos long")
 
 
 def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, allowed, rule: Rule) -> list[tuple[int, int]]:
@@ -301,20 +302,22 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, al
 
 #: A group in which members are compared: a shingle, a size class, and two blocks.
 GROUP = ("key", "cls", "i", "j")
-MEMBER = "key long, cls int, i int, j int, own int, doc long, comp long, n long, sig binary"
+MEMBER = "key long, cls int, i int, j int, own int, low boolean, doc long, comp long, n long, sig binary"
 
 
 def placed_in_blocks(members: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, int]:
     """Members (key, doc, comp, n, ...) dealt to the groups (key, cls, i, j) in which they are compared, and the tasks for them.
 
-    Keys are first split by size class (a set may match one of its own or the next class), then dealt into blocks
+    Keys are first split by size class (a set may match one of its own or the next class: it is ``low`` in its own, and of two members
+    that meet one is low, so a pair meets once), then dealt into blocks
     of about ``BLOCK``; each pair of blocks is one group. What lies in one component is not placed.
     The groups' counts are pre-aggregated; a hot key's members are dealt on from wherever they lie if the counts are broadcast, and
     otherwise by a join that adaptive execution may split, since the exchange by group follows it.
     """
     ratio = float(np.log(100 / rule.percent))
     cls = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")
-    sized = members.withColumn("cls", F.explode(F.array(cls, cls + 1)))
+    both = F.array(F.struct(cls.alias("cls"), F.lit(True).alias("low")), F.struct((cls + 1).alias("cls"), F.lit(False).alias("low")))
+    sized = members.withColumn("_class", F.explode(both)).withColumns({"cls": F.col("_class.cls"), "low": F.col("_class.low")}).drop("_class")
     live = sized.groupBy("key", "cls").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     live = scratch.keep(live.select("key", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     rows = live.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
@@ -333,12 +336,13 @@ class Group:
         self.rule, self.distance = rule, rule.distance
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         self.own, self.doc, self.comp, self.n = (t.column(c).to_numpy() for c in ("own", "doc", "comp", "n"))
+        self.low = t.column("low").to_numpy()
         self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, rule.slots)
         self.left, self.right, self.same = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j), i == j
 
     def allowed(self, x: int, among: np.ndarray | None = None) -> np.ndarray:
         y, n = self.right if among is None else among, self.n
-        y = y[(self.comp[y] != self.comp[x]) & self.rule.sizes_allow(n[y], n[x])]
+        y = y[(self.comp[y] != self.comp[x]) & (self.low[y] | self.low[x]) & self.rule.sizes_allow(n[y], n[x])]
         y = y[self.doc[y] > self.doc[x]] if self.same else y
         return y[(self.sig[y] != self.sig[x]).sum(axis=1) <= self.distance] if len(y) else y
 
@@ -375,20 +379,26 @@ def links_at_home(members: DataFrame, sets: DataFrame, rule: Rule, scratch: Scra
 
 
 def pairs_abroad(members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) between members (key, doc, comp, n, sig, homes) of one key that share no home."""
+    """Candidate pairs (a, b) between members (key, doc, pos, comp, n, sig, first, last) of one key that share no home.
+
+    A pair is emitted only where its key may be the first that the two share: of what stands behind it in either set, enough must be left for
+    the similarity. The first shared key of a similar pair always passes, so none is lost.
+    """
 
     def compare(t: pa.Table) -> pa.Table:
         g = Group(t, rule)
-        first, last = (t.column(c).to_numpy() for c in ("first", "last"))
+        first, last, pos = (t.column(c).to_numpy() for c in ("first", "last", "pos"))
+        left = g.n - pos  # the key and what stands behind it
         found = []
         for x in g.left:
             y = g.right
             met = (first[y] == first[x]) | (first[y] == last[x]) | (last[y] == first[x]) | (last[y] == last[x])
-            found += [(int(x), int(z)) for z in g.allowed(x, y[~met])]
+            enough = (100 + rule.percent) * np.minimum(left[x], left[y]) >= rule.percent * (g.n[x] + g.n[y])
+            found += [(int(x), int(z)) for z in g.allowed(x, y[enough & ~met])]
         return g.pairs(found)
 
     placed, _ = placed_in_blocks(members, rule, scratch)
-    placed = placed.select(*GROUP, "own", "doc", "comp", "n", "sig", "first", "last")
+    placed = placed.select(*GROUP, "own", "low", "doc", "pos", "comp", "n", "sig", "first", "last")
     return placed.groupBy(*GROUP).applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -428,7 +438,10 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     known = apart.join(reps.select("doc", "n", "sig"), "doc")
     at_home = homes.select("doc", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
     settled = scratch.keep(links_at_home(at_home.join(known, "doc"), sets, rule, scratch))
-    abroad = keyed.select("key", "doc").join(known, "doc").join(homes, "doc")
+    # what the homes have linked is one component now, and is not compared abroad again
+    comps = scratch.keep(connected_components(first.union(settled), scratch))
+    known = known.drop("comp").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    abroad = keyed.select("key", "doc", "pos").join(known, "doc").join(homes, "doc")
     second = settled.union(confirm(scratch.keep(pairs_abroad(abroad, rule, scratch)), texts, scratch, rule))
     # rows take their class's name; only classes of several rows need a join
     several = reps.where("m > 1").select("h1", "h2", "n", "doc")
