@@ -15,15 +15,17 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import WORD, bit_of, fresh, popcount, unused, word_of
-from ..hashing import cubic, half, key_of, nth, pair
+from ..functions import WORD, fresh, popcount, unused
+from ..hashing import cubic, half, key_of, text_pairs
 from ..shipping import ship
 from .fingerprint import CuckooSpec
 
@@ -58,11 +60,45 @@ class BitLayer:
             self.ones += not self.data[p]
             self.data[p] = 1
 
+    def insert_until_half(self, a: np.ndarray, b: np.ndarray) -> int:
+        """Insert hash pairs in their order until half of the bits are set; how many that took.
+
+        A key that is held already sets nothing, so the bits after each key are those of all keys up to it.
+        """
+        data, n = np.frombuffer(self.data, np.uint8), max(64, self.bits // self.hashes)
+        for s in range(0, len(a), n):
+            at = np.stack([(a[s : s + n] + i * b[s : s + n] + cubic(i)) % self.bits for i in range(self.hashes)], axis=1)
+            flat = at.ravel()
+            unset = np.flatnonzero(data[flat] == 0)
+            first = unset[np.unique(flat[unset], return_index=True)[1]]
+            ones = self.ones + np.cumsum(np.bincount(first // self.hashes, minlength=len(at)))
+            half = np.flatnonzero(2 * ones >= self.bits)
+            taken = int(half[0]) + 1 if len(half) else len(at)
+            data[flat[: taken * self.hashes]] = 1
+            self.ones = int(ones[taken - 1])
+            if len(half):
+                return s + taken
+        return len(a)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indices of the hash pairs that are held."""
+        data, left = np.frombuffer(self.data, np.uint8), np.arange(len(a))
+        for i in range(self.hashes):
+            hit = data[(a + i * b + cubic(i)) % self.bits] == 1
+            left, a, b = left[hit], a[hit], b[hit]
+        return left
+
     @property
     def estimated_fpp(self) -> float:
         return (self.ones / self.bits) ** self.hashes
 
 
+def _without(held: BitLayer | CuckooLayer, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash pairs that a layer does not hold."""
+    gone = held.find(a, b)
+    return np.delete(a, gone), np.delete(b, gone)
+
+
 @dataclass
 class ScalableBloom:
     """Grows by a layer when half of the last one's bits are set; each layer is larger and stricter than the one before."""
@@ -95,9 +131,26 @@ class ScalableBloom:
             return False
         last = self.layers[-1]
         last.insert(a, b)
+        self._grow()
+        return True
+
+    def _grow(self) -> None:
+        last = self.layers[-1]
         if 2 * last.ones >= last.bits:
             self.layers.append(self._layer(math.ceil(last.bits * self.growth), self.fpp * self.tightening ** len(self.layers)))
-        return True
+
+    def insert_all(self, keys: list[str]) -> None:
+        """``insert`` one after the other."""
+        a, b = text_pairs(keys, self.seed)
+        for x in self.layers[:-1]:
+            a, b = _without(x, a, b)
+        while len(a):
+            last = self.layers[-1]
+            taken = last.insert_until_half(a, b)
+            a, b = a[taken:], b[taken:]
+            self._grow()
+            if len(a):
+                a, b = _without(last, a, b)
 
     @property
     def estimated_fpp(self) -> float:
@@ -124,15 +177,68 @@ class ScalableBloom:
     def count_zeros(self) -> int:
         return len(self) - self.count_ones
 
-    def rows(self) -> Iterator[tuple]:
-        """(layer, slots, width, a, b, overflow): a layer's head, then its words."""
+    def blocks(self) -> Iterator[tuple]:
+        """Each layer: its number, slots, width, then arrays of a, b and overflow."""
         for i, x in enumerate(self.layers):
-            yield i, x.bits, x.hashes, None, None, False
             padded = np.zeros(-(-x.bits // WORD) * WORD, np.uint8)
             padded[: x.bits] = np.frombuffer(x.data, np.uint8)
             words = np.packbits(padded, bitorder="little").view("<u4")
-            for at in np.flatnonzero(words).tolist():
-                yield i, x.bits, x.hashes, at, int(words[at]), False
+            at = np.flatnonzero(words)
+            yield i, x.bits, x.hashes, at, words[at].astype(np.int64), np.zeros(len(at), bool)
+
+    def rows(self) -> Iterator[tuple]:
+        """(layer, slots, width, a, b, overflow): a layer's head, then its words."""
+        return _rows(self.blocks())
+
+
+def _rows(blocks: Iterator[tuple]) -> Iterator[tuple]:
+    for *shape, a, b, overflow in blocks:
+        yield *shape, None, None, False
+        for row in zip(a.tolist(), b.tolist(), overflow.tolist(), strict=True):
+            yield *shape, *row
+
+
+class PairSet:
+    """A cuckoo layer's pairs, sorted, for many questions at once: which fingerprints there are decides most of them without a hash.
+
+    ``codes`` holds the rank of the fingerprint times the number of buckets, plus the smaller bucket, of each pair.
+    """
+
+    #: Bits of a fingerprint by which most absent ones are told.
+    MOST_BITS = 22
+
+    def __init__(self, entries: int, slots: int, width: int, a: np.ndarray, b: np.ndarray, seed: str):
+        self.buckets, self.width = slots // entries, width
+        self.fps, rank = np.unique(a, return_inverse=True)
+        self.codes, self.of = np.unique(rank * self.buckets + b, return_inverse=True)  # of: the place of each given pair in codes
+        self.turns = text_pairs([str(x) for x in self.fps.tolist()], seed)[0] % self.buckets
+        self.mask = (1 << min(width, self.MOST_BITS)) - 1
+        self.there = np.zeros(self.mask + 1, bool)
+        self.there[self.fps & self.mask] = True
+
+    def places(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the hash pairs whose pair is held, and its place in ``codes``."""
+        fp = fingerprints(a, self.width)
+        left = np.flatnonzero(self.there[fp & self.mask])
+        if not len(left):
+            return left, left
+        fp = fp[left]
+        rank = np.minimum(np.searchsorted(self.fps, fp), len(self.fps) - 1)
+        same = self.fps[rank] == fp
+        left, rank = left[same], rank[same]
+        one = b[left] % self.buckets
+        code = rank * self.buckets + np.minimum(one, one ^ self.turns[rank])
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        same = self.codes[at] == code
+        return left[same], at[same]
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.places(a, b)[0]
+
+
+def fingerprints(a: np.ndarray, width: int) -> np.ndarray:
+    low = a & ((1 << width) - 1)
+    return np.where(low == 0, 1, low)
 
 
 class CuckooLayer:
@@ -140,14 +246,25 @@ class CuckooLayer:
 
     MOST_KICKS = 512
 
+    #: Draws of slots and sides by layer number and entries: they do not hang on the keys, so all filters of a process share them.
+    _drawn: dict[tuple[int, int, str], list[int]] = {}
+
     def __init__(self, spec: CuckooSpec, number: int = 0):
-        self.spec, self.number = spec, number
-        self.table: list[list[int]] = [[] for _ in range(spec.buckets)]
+        self.spec, self.number, self.steps = spec, number, 0
         self.extra: set[tuple[int, int]] = set()
-        self.steps = 0
+        self.clear()
 
     def _other(self, fp: int, bucket: int) -> int:
-        return bucket ^ (digest_pair(str(fp), self.spec.seed)[0] % self.spec.buckets)
+        turn = self.turns.get(fp)
+        if turn is None:
+            turn = self.turns[fp] = digest_pair(str(fp), self.spec.seed)[0] % self.spec.buckets
+        return bucket ^ turn
+
+    def _draw(self, what: str, most: int, step: int) -> int:
+        known = self._drawn.setdefault((self.number, most, what), [])
+        while len(known) <= step:
+            known.append(draw(self.number, len(known), what) % most)
+        return known[step]
 
     def locate(self, key: str) -> tuple[int, int, int]:
         a, b = digest_pair(key, self.spec.seed)
@@ -160,33 +277,74 @@ class CuckooLayer:
         return fp in self.table[i] or fp in self.table[j] or (fp, min(i, j)) in self.extra
 
     def insert(self, key: str) -> None:
-        fp, i, j = self.locate(key)
-        if self.contains(key):
+        self._put(*self.locate(key))
+
+    def _put(self, fp: int, i: int, j: int) -> None:
+        table, entries = self.table, self.spec.entries
+        if fp in table[i] or fp in table[j] or self.extra and (fp, min(i, j)) in self.extra:
             return
+        self.pairs = None
         for at in (i, j):
-            if len(self.table[at]) < self.spec.entries:
-                self.table[at].append(fp)
+            if len(table[at]) < entries:
+                table[at].append(fp)
+                self.held += 1
                 return
-        at = (i, j)[draw(self.number, self.steps, "side") % 2]
+        at = (i, j)[self._draw("side", 2, self.steps)]
+        self._draw("slot", entries, self.steps + self.MOST_KICKS)
+        slots, turns = self._drawn[self.number, entries, "slot"], self.turns
         for _ in range(self.MOST_KICKS):
             self.steps += 1
-            slot = draw(self.number, self.steps, "slot") % self.spec.entries
-            fp, self.table[at][slot] = self.table[at][slot], fp
-            at = self._other(fp, at)
-            if len(self.table[at]) < self.spec.entries:
-                self.table[at].append(fp)
+            slot = slots[self.steps]
+            fp, table[at][slot] = table[at][slot], fp
+            at ^= turns[fp]  # known since the pair came
+            if len(table[at]) < entries:
+                table[at].append(fp)
+                self.held += 1
                 return
         self.extra.add((fp, min(at, self._other(fp, at))))
 
+    @property
+    def is_grown(self) -> bool:
+        return bool(self.extra) or self.held == self.spec.capacity
+
+    def insert_until_grown(self, a: np.ndarray, b: np.ndarray) -> int:
+        """Insert hash pairs in their order until the table is full or has overflowed; how many that took."""
+        n = max(64, self.spec.capacity)
+        for s in range(0, len(a), n):
+            fps, ones = fingerprints(a[s : s + n], self.spec.fingerprint_bits).tolist(), (b[s : s + n] % self.spec.buckets).tolist()
+            for k, (fp, i) in enumerate(zip(fps, ones, strict=True)):
+                self._put(fp, i, self._other(fp, i))
+                if self.held == self.spec.capacity or self.extra:
+                    return s + k + 1
+        return len(a)
+
+    def content(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arrays of fingerprints, smaller buckets and whether a pair found no slot."""
+        extra = sorted(self.extra)
+        fps = np.array([fp for held in self.table for fp in held], np.int64)
+        at = np.repeat(np.arange(self.spec.buckets), [len(x) for x in self.table])
+        low = np.minimum(at, [self._other(fp, i) for fp, i in zip(fps.tolist(), at.tolist(), strict=True)]) if len(fps) else at
+        a, b = (np.concatenate([x, np.array([e[k] for e in extra], np.int64)]) for k, x in enumerate((fps, low)))
+        return a, b, np.arange(len(a)) >= len(fps)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indices of the hash pairs that are held."""
+        if self.pairs is None:
+            self.pairs = PairSet(self.spec.entries, self.spec.capacity, self.spec.fingerprint_bits, *self.content()[:2], self.spec.seed)
+        return self.pairs.find(a, b)
+
     def remove(self, key: str) -> None:
         fp, i, j = self.locate(key)
         for at in {i, j}:
-            self.table[at] = [x for x in self.table[at] if x != fp]
+            left = [x for x in self.table[at] if x != fp]
+            self.held -= len(self.table[at]) - len(left)
+            self.table[at] = left
         self.extra.discard((fp, min(i, j)))
+        self.pairs = None
 
     def __len__(self) -> int:
         """Slots taken; items that found none are beside them."""
-        return sum(map(len, self.table))
+        return self.held
 
     @property
     def is_empty(self) -> bool:
@@ -197,7 +355,10 @@ class CuckooLayer:
         return bool(self.extra)
 
     def clear(self) -> None:
-        self.table = [[] for _ in range(self.spec.buckets)]
+        self.table: list[list[int]] = [[] for _ in range(self.spec.buckets)]
+        self.held = 0  # slots taken
+        self.turns: dict[int, int] = {}  # what leads from one bucket of a fingerprint to the other
+        self.pairs: PairSet | None = None  # made for questions, until the content changes
         self.extra.clear()
 
     @property
@@ -232,11 +393,28 @@ class ScalableCuckoo:
             return False
         last = self.layers[-1]
         last.insert(key)
-        if last.extra or len(last) == last.spec.capacity:
+        self._grow()
+        return True
+
+    def _grow(self) -> None:
+        last = self.layers[-1]
+        if last.is_grown:
             n = len(self.layers)
             spec = CuckooSpec.for_fpp(math.ceil(last.spec.capacity * self.growth), self.fpp * self.tightening**n, self.entries, self.seed)
             self.layers.append(CuckooLayer(spec, n))
-        return True
+
+    def insert_all(self, keys: list[str]) -> None:
+        """``insert`` one after the other."""
+        a, b = text_pairs(keys, self.seed)
+        for x in self.layers[:-1]:
+            a, b = _without(x, a, b)
+        while len(a):
+            last = self.layers[-1]
+            taken = last.insert_until_grown(a, b)
+            a, b = a[taken:], b[taken:]
+            self._grow()
+            if len(a):
+                a, b = _without(last, a, b)
 
     def remove(self, key: str) -> None:
         for x in self.layers:
@@ -265,16 +443,14 @@ class ScalableCuckoo:
     def entries_per_index(self) -> int:
         return self.entries
 
+    def blocks(self) -> Iterator[tuple]:
+        """Each layer: its number, slots, width, then arrays of a, b and overflow."""
+        for i, x in enumerate(self.layers):
+            yield i, x.spec.capacity, x.spec.fingerprint_bits, *x.content()
+
     def rows(self) -> Iterator[tuple]:
         """(layer, slots, width, a, b, overflow): a layer's head, then its pairs."""
-        for i, x in enumerate(self.layers):
-            shape = i, x.spec.capacity, x.spec.fingerprint_bits
-            yield *shape, None, None, False
-            for at, held in enumerate(x.table):
-                for fp in held:
-                    yield *shape, fp, min(at, x._other(fp, at)), False
-            for fp, at in sorted(x.extra):
-                yield *shape, fp, at, True
+        return _rows(self.blocks())
 
 
 class StreamFilter:
@@ -375,24 +551,25 @@ def grow(df: DataFrame, key: str, order: str, make, shards: int = SHARDS) -> Dat
     """
 
     def sent(shard: int, held) -> Iterator[pa.RecordBatch]:
-        part = []
-        for row in held.rows():
-            part.append((shard, *row))
-            if len(part) == SENT:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), GROWN_ARROW, strict=True)], schema=GROWN_ARROW)
-                part = []
-        if part:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), GROWN_ARROW, strict=True)], schema=GROWN_ARROW)
+        for *shape, a, b, overflow in held.blocks():
+            for s in range(0, len(a) + 1, SENT):
+                head = int(s == 0)
+                some = [np.concatenate([np.zeros(head, x.dtype), x[s : s + SENT]]) for x in (a, b, overflow)]
+                n, null = len(some[0]), np.arange(len(some[0])) < head
+                cells = [pa.repeat(pa.scalar(v, f.type), n) for v, f in zip((shard, *shape), GROWN_ARROW, strict=False)]
+                yield pa.RecordBatch.from_arrays([*cells, *(pa.array(x, pa.int64(), mask=null) for x in some[:2]), pa.array(some[2])], schema=GROWN_ARROW)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
-        for b in batches:
-            for shard, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if shard != now:
-                    if held is not None:
-                        yield from sent(now, held)
-                    now, held = shard, make()
-                held.insert(k)
+        for shard, b in _by_shard(batches):
+            if shard != now:
+                if held is not None:
+                    yield from sent(now, held)
+                now, held = shard, make()
+            keys = b.column(1)
+            if len(keys) > 1:  # a key that comes again changes nothing
+                keys = keys.filter(pa.concat_arrays([pa.array([True]), pc.not_equal(keys[1:], keys[:-1])]))
+            held.insert_all(keys.to_pylist())
         if held is not None:
             yield from sent(now, held)
 
@@ -418,39 +595,93 @@ def summary(grown: DataFrame, like: ScalableBloom | ScalableCuckoo) -> DataFrame
     return of.select("shard", "filter_count", "slots", "held", (F.col("slots") - F.col("held")).alias("unset"), "overflow", (F.col("held") + F.col("overflow") == 0).alias("is_empty"), (1 - F.col("_p")).alias("estimated_fpp"))
 
 
-def _asked(df: DataFrame, key: Column, grown: DataFrame, like: ScalableBloom | ScalableCuckoo, shards: int) -> DataFrame:
-    """What each distinct key asks of each layer of its shard: _key, shard, layer, a, and of a Bloom layer the bit, of a cuckoo layer b."""
+#: Where a key stands in a shard's order, behind every layer.
+_LAST = (1 << 31) - 1
+_BESIDE = "shard int, layer int, slots long, width int, a long, b long, overflow boolean, _key string"
+
+
+class HeldBloom:
+    """A Bloom layer read back from its rows."""
+
+    def __init__(self, slots: int, hashes: int, a: np.ndarray, b: np.ndarray):
+        self.slots, self.hashes = slots, hashes
+        self.words = np.zeros(-(-slots // WORD), np.int64)
+        self.words[a] = b
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indices of the hash pairs that the layer may hold."""
+        left = np.arange(len(a))
+        for i in range(self.hashes):
+            at = (a + i * b + cubic(i)) % self.slots
+            hit = (self.words[at >> 5] >> (at & (WORD - 1))) & 1 == 1
+            left, a, b = left[hit], a[hit], b[hit]
+        return left
+
+
+def _held(like: ScalableBloom | ScalableCuckoo, rows: pa.Table) -> list:
+    """The layers of one shard's rows, the last and largest first."""
+    return [made for _, made in _layers_held(like, rows)][::-1]
+
+
+def _layers_held(like: ScalableBloom | ScalableCuckoo, rows: pa.Table) -> Iterator[tuple]:
+    """Of each layer with content the numbers of its content's rows, and the layer to ask."""
+    layer, slots, width = (rows.column(c).to_numpy() for c in ("layer", "slots", "width"))
+    a, b = (rows.column(c).fill_null(-1).to_numpy() for c in ("a", "b"))  # no word's number and no fingerprint is negative
+    for n in np.unique(layer).tolist():
+        at = np.flatnonzero((layer == n) & (a >= 0))
+        if len(at):
+            shape = int(slots[at[0]]), int(width[at[0]])
+            yield at, HeldBloom(*shape, a[at], b[at]) if isinstance(like, ScalableBloom) else PairSet(like.entries, *shape, a[at], b[at], like.seed)
+
+
+def _beside(df: DataFrame, key: Column, grown: DataFrame, shards: int) -> DataFrame:
+    """Each shard's filter and then its distinct keys, shard after shard in one task: a key meets its layers without a row for each."""
+    ship(df.sparkSession)
     keys = df.where(key.isNotNull()).select(key.alias("_key")).distinct()
-    one, two = pair(F.col("_key"), like.seed)
-    keys = keys.select("_key", shard_of(F.col("_key"), shards).alias("shard"), one.alias("_a"), two.alias("_b"))
-    # shards times layers, and layers grow with the logarithm of a shard
-    heads = grown.where("a IS NULL").select("shard", "layer", "slots", "width")
-    met = keys.join(F.broadcast(heads), "shard")
-    if isinstance(like, ScalableBloom):
-        spread = met.select("_key", "shard", "layer", "slots", "_a", "_b", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("_i"))
-        at = nth(F.col("_a"), F.col("_b"), F.col("_i")) % F.col("slots")
-        return spread.select("_key", "shard", "layer", at.alias("_at")).select("_key", "shard", "layer", word_of(F.col("_at")).alias("a"), bit_of(F.col("_at")).alias("bit"))
-    buckets = (F.col("slots") / like.entries).cast("long")
-    low = F.col("_a") % F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
-    made = met.select("_key", "shard", "layer", buckets.alias("_n"), F.when(low == 0, F.lit(1).cast("long")).otherwise(low).alias("a"), (F.col("_b") % buckets).alias("_one"))
-    other = F.col("_one").bitwiseXOR(half(F.col("a").cast("string"), 0, like.seed) % F.col("_n"))
-    return made.select("_key", "shard", "layer", "a", F.least("_one", other).alias("b"))
+    keys = keys.select(shard_of(F.col("_key"), shards).alias("shard"), F.lit(_LAST).alias("layer"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _BESIDE.split(", ")[2:-1])], "_key")
+    return grown.select(*GROWN_ARROW.names, F.lit(None).cast("string").alias("_key")).unionByName(keys).repartition("shard").sortWithinPartitions("shard", "layer")
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of one shard each."""
+    for b in batches:
+        shard = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for i, j in pairwise(cuts) if len(shard) else ():
+            yield int(shard[i]), b.slice(i, j - i)
 
 
 def with_contains(df: DataFrame, key: Column, grown: DataFrame, like: ScalableBloom | ScalableCuckoo, shards: int = SHARDS, name: str = "found") -> DataFrame:
     """``df`` with a verdict: whether any layer of the key's shard may hold it; null for a null key.
 
-    Distinct keys are asked by joins with the filter's table, which is neither collected nor broadcast.
+    Distinct keys go to where their shard's filter lies, which is neither collected nor broadcast; a task holds the layers of one shard.
     """
     unused(df, name)
-    asked, held = _asked(df, key, grown, like, shards), grown.where("a IS NOT NULL")
-    if isinstance(like, ScalableBloom):
-        words = held.select("shard", "layer", "a", F.col("b").alias("word"))
-        hit = F.coalesce(F.col("word").bitwiseAND(F.col("bit")) != 0, F.lit(False))
-        by_layer = asked.join(words, ["shard", "layer", "a"], "left").groupBy("_key", "layer").agg(F.bool_and(hit).alias("_hit"))
-        found = by_layer.groupBy("_key").agg(F.bool_or("_hit").alias("_hit"))
-    else:
-        found = asked.join(held.select("shard", "layer", "a", "b"), ["shard", "layer", "a", "b"], "left_semi").select("_key", F.lit(True).alias("_hit")).distinct()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held = None, [], None
+        for shard, b in _by_shard(batches):
+            if shard != now:
+                now, rows, held = shard, [], None
+            behind = int((b.column(1).to_numpy() != _LAST).sum())
+            if behind:
+                rows.append(b.slice(0, behind))
+            asked = b.column("_key").slice(behind)
+            if not len(asked) or not rows and not held:
+                continue
+            if held is None:
+                held, rows = _held(like, pa.Table.from_batches(rows)), []
+            if not held:
+                continue
+            left, hits = np.arange(len(asked)), []
+            one, two = text_pairs(asked.to_pylist(), like.seed)
+            for x in held:
+                hit = x.find(one[left], two[left])
+                hits.append(left[hit])
+                left = np.delete(left, hit)
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.concatenate(hits)))], names=["_key"])
+
+    found = _beside(df, key, grown, shards).mapInArrow(ask, "_key string").select("_key", F.lit(True).alias("_hit"))
     own, other, hit = fresh(df, "_key", "_other", "_hit")
     keyed = df.withColumn(own, key)
     joined = keyed.join(found.select(F.col("_key").alias(other), F.col("_hit").alias(hit)), F.col(own) == F.col(other), "left")
@@ -459,7 +690,35 @@ def with_contains(df: DataFrame, key: Column, grown: DataFrame, like: ScalableBl
 
 def remove(grown: DataFrame, df: DataFrame, key: Column, like: ScalableCuckoo, shards: int = SHARDS) -> DataFrame:
     """Without the keys' pairs, in every layer; layers themselves stay, and room in earlier ones is not used again."""
-    return grown.join(_asked(df, key, grown, like, shards).select("shard", "layer", "a", "b").distinct(), ["shard", "layer", "a", "b"], "left_anti").select(*grown.columns)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def left() -> Iterator[pa.RecordBatch]:
+            if rows:
+                whole = pa.Table.from_batches(rows)
+                for at, x, gone in held or ():
+                    kept[at] = ~gone[x.of]
+                yield from (whole.filter(pa.array(kept)) if held else whole).select(GROWN_ARROW.names).cast(GROWN_ARROW).to_batches(SENT)
+
+        now, rows, held, kept = None, [], None, None
+        for shard, b in _by_shard(batches):
+            if shard != now:
+                yield from left()
+                now, rows, held, kept = shard, [], None, None
+            behind = int((b.column(1).to_numpy() != _LAST).sum())
+            if behind:
+                rows.append(b.slice(0, behind))
+            asked = b.column("_key").slice(behind)
+            if not len(asked) or not rows:
+                continue
+            if held is None:
+                held = [(at, x, np.zeros(len(x.codes), bool)) for at, x in _layers_held(like, pa.Table.from_batches(rows))]
+                kept = np.ones(sum(map(len, rows)), bool)
+            one, two = text_pairs(asked.to_pylist(), like.seed)
+            for _, x, gone in held:
+                gone[x.places(one, two)[1]] = True
+        yield from left()
+
+    return _beside(df, key, grown, shards).mapInArrow(drop, GROWN)
 
 
 def deduplicate(df: DataFrame, key: str, order: str, bits_each: int, fpp: float, rule: str = "bs", shards: int = SHARDS, seed: str = "") -> DataFrame:
