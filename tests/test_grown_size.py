@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -28,6 +29,30 @@ def test_asking_makes_no_row_for_a_layer(spark, kind):
     assert held >= set(range(0, 3_000, 3)) and len(held) < 1_000 + 100
 
 
+class Unwalked(list):
+    def __iter__(self):
+        raise AssertionError("all buckets were walked through for one key")
+
+
+def test_no_key_counts_all_slots():
+    held = MAKE["cuckoo"]()
+    for k in range(5):
+        held.layers[-1].table = Unwalked(held.layers[-1].table)
+        assert held.insert(str(k)) and len(held.layers[0]) == k + 1
+
+
+@pytest.mark.parametrize("kind", MAKE)
+def test_a_key_costs_the_same_in_a_large_shard(kind):
+    held, took = MAKE[kind](), {}
+    for n in (4_000, 40_000):
+        held.clear()
+        began = time.process_time()
+        for s in range(0, n, 2_000):
+            held.insert_all([str(k) for k in range(s, s + 2_000)])
+        took[n] = time.process_time() - began
+    assert took[40_000] < 25 * took[4_000] + 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 999, 1_001, 3_000])
 @pytest.mark.parametrize("seed", ["", "s"])
 def test_hash_pairs_of_many_texts(n, seed):
