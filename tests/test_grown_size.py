@@ -29,6 +29,21 @@ def test_asking_makes_no_row_for_a_layer(spark, kind):
     assert held >= set(range(0, 3_000, 3)) and len(held) < 1_000 + 100
 
 
+def test_removing_makes_no_row_for_a_layer(spark):
+    df = spark.range(3_000).withColumnRenamed("id", "item")
+    grown = ordered.grow(df, "item", "item", MAKE["cuckoo"], shards=3)
+    like, gone = MAKE["cuckoo"](), df.where("item % 5 = 0")
+    left = ordered.remove(grown, gone, key_of("item"), like, 3)
+    assert "Join" not in plan_of(left)
+    plain: dict[int, ordered.ScalableCuckoo] = {}
+    for k in map(str, range(3_000)):
+        plain.setdefault(int(ordered.digest_pair(k, "shard:")[1] % 3), MAKE["cuckoo"]()).insert(k)
+    for k in map(str, range(0, 3_000, 5)):
+        plain[ordered.digest_pair(k, "shard:")[1] % 3].remove(k)
+    assert {tuple(r) for r in left.collect()} == {(s, *row) for s, held in plain.items() for row in held.rows()}
+    assert ordered.remove(grown, gone.limit(0), key_of("item"), like, 3).count() == grown.count()
+
+
 class Unwalked(list):
     def __iter__(self):
         raise AssertionError("all buckets were walked through for one key")
