@@ -44,6 +44,21 @@ def test_removing_makes_no_row_for_a_layer(spark):
     assert ordered.remove(grown, gone.limit(0), key_of("item"), like, 3).count() == grown.count()
 
 
+@pytest.mark.parametrize("seed", ["", "s"])
+@pytest.mark.parametrize("kind", MAKE)
+def test_batches_grow_what_single_keys_grow(kind, seed):
+    r = random.Random(5)
+    keys = [str(r.randrange(2_500)) for _ in range(4_000)]
+    one, many, i = MAKE[kind](seed), MAKE[kind](seed), 0
+    for k in keys:
+        one.insert(k)
+    while i < len(keys):
+        n = r.choice((1, 7, 300, 1_500))
+        many.insert_all(keys[i : i + n])
+        i += n
+    assert list(one.rows()) == list(many.rows()) and len(one) == len(many) and one.filter_count == many.filter_count > 5
+
+
 class Unwalked(list):
     def __iter__(self):
         raise AssertionError("all buckets were walked through for one key")
