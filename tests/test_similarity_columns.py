@@ -25,6 +25,15 @@ def hashed_once(spark, use) -> tuple[list, int]:
     return rows, read.value
 
 
+def test_neighbours_hash_each_text_once(spark):
+    def pairs(s):
+        s = similarity.dealt(s, "doc_id")
+        return s.select(F.col("doc_id").alias("a"), F.col("sim_hash").alias("x")).join(s.select(F.col("doc_id").alias("b"), F.col("sim_hash").alias("y")), F.col("a") + 1 == F.col("b"))
+
+    rows, read = hashed_once(spark, pairs)
+    assert len(rows) == 199 and read == 200
+
+
 def test_candidates_hash_each_text_once(spark):
     assert hashed_once(spark, lambda s: similarity.similar_candidates(s, "doc_id", 3))[1] == 200
 
