@@ -88,3 +88,7 @@ def held_rows(spark, make) -> int:
 
 def test_signatures_get_small_batches(spark):
     assert held_rows(spark, lambda docs: similarity.min_hashes(docs, "doc_id", "text", 3, 4)) <= 1_000
+
+
+def test_shingle_counts_get_small_batches(spark):
+    assert held_rows(spark, lambda docs: similarity.shingle_counts(docs, "doc_id", "text", 3)) <= 1_000
