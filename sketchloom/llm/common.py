@@ -10,29 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import trim, tune  # noqa: F401  (operators take it from here)
 
 #: Bytes of a side up to which it may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
-#: Texts in one Arrow batch: some of them are long.
-BATCH_ROWS = 1_000
+#: Words that a Python worker remembers for one operator; it may run several, and others wait beside it.
+KNOWN_WORDS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession) -> None:
-    """Arrow batches small enough for tables of long texts; the package itself travels to the executors.
-
-    The batch size is read when a plan runs, so it is a setting of the session: it is lowered where it is higher, never raised.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    ship(spark)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session or the cluster names it.
 
@@ -114,13 +103,16 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, limi
     return big.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Map Arrow batches one to one."""
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, known: dict | None = None) -> DataFrame:
+    """Map Arrow batches one to one; ``known``, what ``fn`` remembers, is forgotten and freed memory given back once a task's batches are through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
+        if known is not None:
+            known.clear()
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_checked, per_batch, tune
+from .common import KNOWN_WORDS, Scratch, join_checked, per_batch, tune
 from .components import connected_components
 
 CHUNK, BITS, WORDS, PERCENT = 6, 16, 5, 85
@@ -106,7 +106,7 @@ def _slots(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Shingler:
     """Distinct 5-word shingles as 64-bit hashes; word hashes are remembered."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = KNOWN_WORDS):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -159,7 +159,7 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, i64), pa.array(one, i64), pa.array(two, i64), pa.array(sigs, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
 
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return per_batch(src, run, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return per_batch(src, run, "doc_id long, n long, h1 long, h2 long, sig binary", shingler.known)
 
 
 def indexed(reps: DataFrame, rule: Rule) -> DataFrame:
@@ -231,7 +231,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFr
         made = [shingler.shingles(t).tobytes() for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc", "set"])
 
-    return scratch.keep(per_batch(texts, sets, "doc long, set binary"), codec="none")
+    return scratch.keep(per_batch(texts, sets, "doc long, set binary", shingler.known), codec="none")
 
 
 def prefixes(sets: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:

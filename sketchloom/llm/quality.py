@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, per_batch, tune
+from .common import KNOWN_WORDS, Scratch, per_batch, trim, tune
 
 BUCKET_BITS = 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +65,7 @@ class Featurizer:
     A shape of more than ``PIECE`` characters is cut into pieces of that length, which all count, as if they were tokens.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = KNOWN_WORDS):
         self.classes, self.known, self.most = _Classes(), {}, most
 
     def _shape(self, w: str) -> int | np.ndarray:
@@ -133,6 +133,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
             total[1] += counted[0] + counted[1]
         at = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "target", "raw"])
+        featurizer.known.clear()
+        trim()
 
     summed = docs.mapInArrow(run, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     out = np.zeros((2, size))
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig | None = None)
         w = [model.weight(featurizer.buckets(t)) for t in b.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(w)], names=["quality", "doc_id", "weight"])
 
-    scored = per_batch(texts.where("quality IS NOT NULL"), run, "quality int, doc_id long, weight double")
+    scored = per_batch(texts.where("quality IS NOT NULL"), run, "quality int, doc_id long, weight double", featurizer.known)
     # at most label_rows rows, however often an id repeats
     scored = scored.groupBy("doc_id", "quality").agg(F.avg("weight").alias("weight")).select("quality", "weight").collect()
     good, bad = (np.array([r[1] for r in scored if r[0] == q]) for q in (1, 0))
@@ -194,7 +196,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(g, pa.float32())], names=["doc_id", "log_weight", "perturbed"])
 
     src = docs.select("doc_id", "text")
-    return per_batch(src, run, f"doc_id {dict(src.dtypes)['doc_id']}, log_weight double, perturbed float")
+    return per_batch(src, run, f"doc_id {dict(src.dtypes)['doc_id']}, log_weight double, perturbed float", featurizer.known)
 
 
 def ordered_bits(x: np.ndarray) -> np.ndarray:
@@ -256,4 +258,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, config: QualityConfig | None =
         keep = [bool(np.float32(m.weight(featurizer.buckets(t)) + m.gumbel(d, t)) >= floor) for d, t in rows]
         return b.filter(pa.array(keep, pa.bool_()))
 
-    return per_batch(docs, run, docs.schema)
+    return per_batch(docs, run, docs.schema, featurizer.known)
